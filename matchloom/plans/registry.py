@@ -1,11 +1,690 @@
-"""All queries and oracles of this package, by name."""
+"""All queries and oracles of this package, by name.
+
+The driver's tables stand in for business records: `benchmark` passages are the clean source and
+`documents` the corpus, with whole texts as names and lang as country; `supplier` and `customer` are short-name records.
+Every query reads its tables whole. Oracles are DuckDB SQL; floats are rounded to 6 digits on both sides.
+"""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, compete, decide, evaluate, evidence, features, fuse, index, retrieve
+from ..session import ship
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+K = 20
+
+
+def query(oracle: str | None = None):
+    """Register a query under its own name."""
+
+    def add(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+# ---------------------------------------------------------------- shared pieces
+
+#: SQL: tokens of a column, one row each.
+def _tok(src: str, key: str, col: str, least: int = 2) -> str:
+    return f"SELECT {key} AS id, unnest(regexp_extract_all(lower(coalesce({col}, '')), '[\\p{{L}}\\p{{N}}_]{{{least},}}')) AS term FROM {src}"
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_EN = ", ".join(f"'{w}'" for w in T.ENGLISH_STOP_WORDS)
+#: SQL: TF-IDF weights of corpus (dw) and queries (qw) over documents and benchmark.
+_TFIDF = f"""
+    n AS (SELECT count(*) AS n FROM documents),
+    dp AS (SELECT id, term, count(*) AS tf FROM ({_tok("documents", "doc_id", "text")}) GROUP BY ALL),
+    qp AS (SELECT id, term, count(*) AS tf FROM ({_tok("benchmark", "item_id", "text")}) GROUP BY ALL),
+    vocab AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM dp, n GROUP BY term),
+    dr AS (SELECT id, term, df, tf * idf AS raw FROM dp JOIN vocab USING (term)),
+    qr AS (SELECT id, term, df, tf * idf AS raw FROM qp JOIN vocab USING (term)),
+    dw AS (SELECT id, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM dr),
+    qw AS (SELECT id, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM qr),
+    cosine AS (SELECT q.id AS s1_id, d.id AS s2_id, round(sum(q.w * d.w), 9) AS score FROM qw q JOIN dw d USING (term) GROUP BY ALL),
+    tfidf AS (SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM cosine WHERE score > 0) WHERE rank <= {K})"""
+
+
+def _bm25_sql(name: str, index_tok: str, length_tok: str, query_tok: str, bounds: str = "TRUE", query_bounds: str = "TRUE") -> str:
+    return f"""
+    {name}p AS (SELECT id, term, count(*) AS tf FROM ({index_tok}) GROUP BY ALL),
+    {name}l AS (SELECT d.doc_id AS id, coalesce(c, 0) AS dl FROM documents d LEFT JOIN (SELECT id, count(*) AS c FROM ({length_tok}) GROUP BY id) x ON x.id = d.doc_id),
+    {name}v AS (SELECT term, count(*) AS df FROM {name}p GROUP BY term HAVING {bounds}),
+    {name}w AS (SELECT p.id, term, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1)
+        * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM {name}l))) AS w
+        FROM {name}p p JOIN {name}v USING (term) JOIN {name}l l ON l.id = p.id WHERE {query_bounds}),
+    {name} AS (SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM (
+            SELECT q.id AS s1_id, d.id AS s2_id, round(sum(d.w), 9) AS score FROM (SELECT DISTINCT id, term FROM ({query_tok})) q JOIN {name}w d USING (term) GROUP BY ALL)) WHERE rank <= {K})"""
+
+
+_W1D, _W1Q = _tok("documents", "doc_id", "text", 1), _tok("benchmark", "item_id", "text", 1)
+_BM25A = _bm25_sql("bm25a", _W1D, _W1D, f"SELECT * FROM ({_W1Q}) WHERE term NOT IN ({_STOP})", "count(*) >= 2", "df <= 80000")
+_SD = f"SELECT * FROM ({_tok('documents', 'doc_id', 'text')}) WHERE term NOT IN ({_STOP})"
+_SQ = f"SELECT * FROM ({_tok('benchmark', 'item_id', 'text')}) WHERE term NOT IN ({_STOP})"
+_BM25B = _bm25_sql("bm25b", _SD, _SD, _SQ, "count(*) BETWEEN 2 AND 80000")
+_ED = f"SELECT * FROM ({_tok('documents', 'doc_id', 'text')}) WHERE term NOT IN ({_EN})"
+_EQ = f"SELECT * FROM ({_tok('benchmark', 'item_id', 'text')}) WHERE term NOT IN ({_EN})"
+_BM25L = _bm25_sql("bm25l", _ED, _ED, _EQ)
+#: SQL: documents that contain a whole passage.
+_TRUTH = "truth AS (SELECT b.item_id AS s1_id, d.doc_id AS s2_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text))"
+_RANKED = "SELECT s1_id, s2_id, rank, round(score, 6) AS score FROM "
+
+
+def _out(found: DataFrame) -> DataFrame:
+    return found.select("s1_id", "s2_id", "rank", r6("score").alias("score"))
+
+
+def _tfidf(t, tokenizer: str = "w2", **kw) -> retrieve.TfidfRetriever:
+    return retrieve.TfidfRetriever(t("documents"), "doc_id", "text", T.TOKENIZERS[tokenizer], **kw)
+
+
+def _tfidf_found(t) -> DataFrame:
+    return _tfidf(t).search(t("benchmark"), "item_id", "text", K)
+
+
+def _bm25a_found(t) -> DataFrame:
+    bm25 = retrieve.Bm25Retriever(t("documents"), "doc_id", "text", T.TOKENIZERS["w1"], min_df=2, max_features=300_000, query_stop=T.STOP_WORDS, max_posting=80_000)
+    return bm25.search(t("benchmark"), "item_id", "text", K)
+
+
+def _bm25b_found(t) -> DataFrame:
+    return retrieve.Bm25Retriever(t("documents"), "doc_id", "text", T.TOKENIZERS["w1_stop"], min_df=2, max_df=80_000).search(t("benchmark"), "item_id", "text", K)
+
+
+def _truth(t, gram: int = 4) -> DataFrame:
+    """s1_id, s2_id: documents that contain a whole passage; passages meet documents on a word 4-gram, then contains() decides.
+
+    The gram skips the passage's first word, which may be glued to what stands before it. Shorter passages meet on no gram and are found by their first whole word.
+    """
+    toks = lambda c: T.tokens(F.col(c), 1)
+    join = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
+    b = t("benchmark").where(F.col("text") != "").select(F.col("item_id").alias("s1_id"), F.col("text").alias("passage"), toks("text").alias("w"))
+    b = b.where(F.size("w") > gram + 1).withColumn("gram", join(F.col("w"), 2, gram))
+    d = t("documents").select(F.col("doc_id").alias("s2_id"), toks("text").alias("w")).where(F.size("w") >= gram)
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - gram + 1), lambda i: join(F.col("w"), i, gram))
+    met = d.select("s2_id", F.explode(F.array_distinct(grams)).alias("gram")).join(b.select("s1_id", "gram"), "gram").select("s1_id", "s2_id").distinct()
+    texts = t("documents").select(F.col("doc_id").alias("s2_id"), "text")
+    return met.join(texts, "s2_id").join(b.select("s1_id", "passage"), "s1_id").where(F.contains("text", "passage")).select("s1_id", "s2_id")
+
+
+def _truth_table(t) -> DataFrame:
+    ids = _truth(t).groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("s2_id").cast("string"))), ",").alias("matched_entity_ids"))
+    every = t("benchmark").select(F.col("item_id").alias("s1_id"))
+    return every.join(ids, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), "matched_entity_ids")
+
+
+_TRUTH_TABLE = "truth_table AS (SELECT item_id AS id, (SELECT count(DISTINCT s2_id) FROM truth WHERE s1_id = item_id) AS c FROM benchmark)"
+
+
+# ---------------------------------------------------------------- audit
+
+
+@query("""
+    SELECT count(*) AS n_rows, count(*) - count(DISTINCT doc_id) - max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS dup_keys,
+           count(*) - count(doc_id) AS missing_doc_id, count(*) - count(text) AS missing_text, count(*) - count(lang) AS missing_lang,
+           count(*) - count(source) AS missing_source, count(*) - count(n_chars) AS missing_n_chars, 5 AS n_columns
+    FROM documents""")
+def audit_missing_dups(t) -> DataFrame:
+    return audit.missing_and_duplicates(t("documents"), "doc_id")
+
+
+@query(f"""
+    WITH {_TRUTH}, {_TRUTH_TABLE}
+    SELECT count(*) FILTER (c > 0) AS positives, count(*) FILTER (c = 0) AS negatives, count(*) FILTER (c > 1) AS multi_match,
+           count(*) - count(DISTINCT id) AS duplicate_ids FROM truth_table""")
+def gt_label_counts(t) -> DataFrame:
+    return audit.label_counts(_truth_table(t))
+
+
+@query(f"""
+    WITH {_TRUTH}, {_TRUTH_TABLE}
+    SELECT CAST(c AS INTEGER) AS match_count, count(*) AS n FROM truth_table GROUP BY c ORDER BY n DESC, match_count LIMIT 10""")
+def match_count_dist(t) -> DataFrame:
+    return audit.match_count_distribution(_truth_table(t))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(r"""
+    SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(coalesce(text, '')), '[^\x00-\x7F]', '', 'g')),
+        '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS clean_md5 FROM documents""")
+def clean_text_ascii(t) -> DataFrame:
+    return t("documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("clean_md5"))
+
+
+@query()
+def normalize_documents(t) -> DataFrame:
+    rows = features.normalize_unicode(t("documents"), "text", "source", "lang")
+    return rows.select("doc_id", F.md5("name_norm").alias("name_md5"), "address_norm", "country_norm", "postal_code", "address_missing")
+
+
+@query(r"""
+    SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^\p{L}\p{N}_\s\-]', ' ', 'g'), '\s+', ' ', 'g')) AS name_norm,
+           trim(regexp_replace(regexp_replace(lower(c_mktsegment), '[^\p{L}\p{N}_\s,\-]', ' ', 'g'), '\s+', ' ', 'g')) AS address_norm,
+           lower(n_name) AS country_norm, 0 AS address_missing
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def normalize_customers(t) -> DataFrame:
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return features.normalize_unicode(rows, "c_name", "c_mktsegment", "n_name").select("c_custkey", "name_norm", "address_norm", "country_norm", "address_missing")
+
+
+@query(r"""
+    SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '\p{Nd}+'), ' ')) AS numbers_md5,
+           regexp_extract(text, '[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+') AS email,
+           regexp_extract(text, '(?:\+?\p{Nd}{1,3}[\-.\s\p{Z}]?)?\(?\p{Nd}{3}\)?[\-.\s\p{Z}]?\p{Nd}{3}[\-.\s\p{Z}]?\p{Nd}{4}') AS phone,
+           regexp_replace(regexp_extract(text, '(?:\+?\p{Nd}{1,3}[\-.\s\p{Z}]?)?\(?\p{Nd}{3}\)?[\-.\s\p{Z}]?\p{Nd}{3}[\-.\s\p{Z}]?\p{Nd}{4}'), '\P{Nd}', '', 'g') AS phone_digits
+    FROM documents""")
+def extract_fields(t) -> DataFrame:
+    x = F.col("text")
+    return t("documents").select(
+        "doc_id", F.md5(T.extract_numbers(x)).alias("numbers_md5"), T.extract_email(x).alias("email"), T.extract_phone(x).alias("phone"), T.phone_digits(x).alias("phone_digits")
+    )
+
+
+@query(r"""
+    SELECT doc_id, regexp_replace(regexp_extract(' ' || regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g') || ' ',
+        '[^\p{L}\p{N}_](\p{Nd}{5}(?:(?:--|\s\s|\p{Z}\p{Z})\p{Nd}{4})?|\p{Nd}{6}|\p{Nd}{3}(?:\s\s|\p{Z}\p{Z})\p{Nd}{3})[^\p{L}\p{N}_]', 1), '\P{Nd}', '', 'g') AS postal_code
+    FROM documents""")
+def extract_postal(t) -> DataFrame:
+    return t("documents").select("doc_id", T.extract_postal_code(F.col("text")).alias("postal_code"))
+
+
+@query(rf"""
+    SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS INTEGER) AS w1,
+           CAST(len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS INTEGER) AS w2,
+           CAST(len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_STOP}))) AS INTEGER) AS w1_stop,
+           CAST(len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: x NOT IN ({_EN}))) AS INTEGER) AS w2_english,
+           CAST(len(list_filter(regexp_split_to_array(text, '[\s\p{{Z}}]+'), lambda x: x <> '')) AS INTEGER) AS space
+    FROM documents""")
+def token_counts(t) -> DataFrame:
+    names = ["w1", "w2", "w1_stop", "w2_english", "space"]
+    return t("documents").select("doc_id", *(F.size(T.TOKENIZERS[n](F.col("text"))).alias(n) for n in names))
+
+
+@query("""
+    WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part),
+    p AS (SELECT p_partkey, ' ' || w || ' ' AS w FROM w WHERE w <> ''),
+    g AS (SELECT p_partkey, n, substr(w, i, n) AS g FROM p, (SELECT unnest([3, 4, 5]) AS n), range(1, 64) r(i)
+          WHERE i <= greatest(length(w) - n + 1, CASE WHEN n = 3 THEN 1 ELSE 0 END) AND (n = 3 OR length(w) >= n))
+    SELECT p_partkey, count(*) AS n_grams, count(DISTINCT g) AS n_distinct, md5(string_agg(g, '|' ORDER BY g)) AS grams_md5 FROM g GROUP BY p_partkey""")
+def char_ngrams_parts(t) -> DataFrame:
+    rows = t("part").select("p_partkey", T.char_ngrams(F.col("p_name"), 3, 5).alias("g")).where(F.size("g") > 0)
+    joined = F.array_join(F.array_sort("g"), "|")
+    return rows.select("p_partkey", F.size("g").cast("long").alias("n_grams"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"), F.md5(joined).alias("grams_md5"))
+
+
+# ---------------------------------------------------------------- features
+
+
+@query(r"""
+    WITH x AS (SELECT doc_id, text, source, lang, CAST(len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')) AS INTEGER) AS nt,
+               CAST(len(list_filter(regexp_split_to_array(source, '[\s\p{Z}]+'), lambda x: x <> '')) AS INTEGER) AS st, CAST(len(regexp_extract_all(source, '\p{Nd}+')) AS INTEGER) AS an FROM documents)
+    SELECT doc_id, CAST((text IS NOT NULL) AS INTEGER) + CAST((source IS NOT NULL) AS INTEGER) + CAST((lang IS NOT NULL) AS INTEGER) AS quality_non_null_count,
+           CAST(length(text) AS INTEGER) AS quality_name_len, CAST(length(source) AS INTEGER) AS quality_address_len, nt AS quality_name_tokens, st AS quality_address_tokens,
+           an AS quality_address_numbers, 2 * CAST(nt > 0 AS INTEGER) + 2 * CAST(st > 0 AS INTEGER) + CAST(an > 0 AS INTEGER) + CAST(coalesce(lang <> '', FALSE) AS INTEGER) AS quality_score,
+           greatest(0.1::DOUBLE, round(1.0::DOUBLE - (CASE WHEN trim(source) = '' THEN 0.4::DOUBLE WHEN length(source) < 10 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN length(text) < 5 THEN 0.3::DOUBLE ELSE 0 END), 2)) AS record_quality
+    FROM x""")
+def quality_scores(t) -> DataFrame:
+    rows = features.completeness(t("documents"), ["text", "source", "lang"], "text", "source", "lang")
+    rows = rows.withColumn("record_quality", features.record_quality(F.col("text"), F.col("source")))
+    return rows.select("doc_id", *(c for c in rows.columns if c.startswith("quality_")), "record_quality")
+
+
+@query(r"""
+    SELECT p_partkey, array_to_string(list_sort(list_filter(string_split(p_name, ' '), lambda x: x <> '')), ' ') AS fp_name_sorted, replace(p_name, ' ', '') AS fp_name_alpha,
+           array_to_string(regexp_extract_all(p_brand, '\p{Nd}+'), ' ') AS fp_address_numbers,
+           array_to_string(list_sort(list_filter(string_split(p_brand, ' '), lambda x: x <> '')), ' ') AS fp_address_sorted FROM part""")
+def part_fingerprints(t) -> DataFrame:
+    rows = features.fingerprints(t("part"), "p_name", "p_brand")
+    return rows.select("p_partkey", "fp_name_sorted", "fp_name_alpha", "fp_address_numbers", "fp_address_sorted")
+
+
+@query(r"""
+    SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, CAST(length(s_name) AS INTEGER) AS name_char_count, CAST(length(n_name) AS INTEGER) AS addr_char_count,
+           CAST(len(string_split(s_name, ' ')) AS INTEGER) AS name_token_count, CAST(len(string_split(n_name, ' ')) AS INTEGER) AS addr_token_count,
+           array_to_string(regexp_extract_all(s_name, '\p{Nd}+'), ' ') AS name_numbers, array_to_string(regexp_extract_all(n_name, '\p{Nd}+'), ' ') AS addr_numbers,
+           regexp_replace(regexp_extract(s_name, '(?:\+?\p{Nd}{1,3}[\-.\s\p{Z}]?)?\(?\p{Nd}{3}\)?[\-.\s\p{Z}]?\p{Nd}{3}[\-.\s\p{Z}]?\p{Nd}{4}'), '\P{Nd}', '', 'g') AS name_phone, '' AS addr_phone,
+           greatest(0.1::DOUBLE, round(1.0::DOUBLE - (CASE WHEN length(n_name) < 10 THEN 0.2::DOUBLE ELSE 0 END), 2)) AS record_quality
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def supplier_features(t) -> DataFrame:
+    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("key", F.col("s_suppkey").cast("string"))
+    return features.narrow_features(rows, "key", "s_name", "n_name", "s_name", "n_name")
+
+
+@query(r"""
+    SELECT c_custkey, trim(concat_ws(' ', c_name, c_mktsegment, n_name)) AS full_view,
+           concat_ws(' ', nullif(c_name, ''), nullif(c_mktsegment, '')) AS address_view
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def text_views(t) -> DataFrame:
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name, seg, nation = F.col("c_name"), F.col("c_mktsegment"), F.col("n_name")
+    return rows.select("c_custkey", features.plain_view(name, seg, nation).alias("full_view"), features.view(name, seg).alias("address_view"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(f"WITH {_TFIDF} {_RANKED} tfidf")
+def tfidf_topk(t) -> DataFrame:
+    return _out(_tfidf_found(t))
+
+
+@query(f"""WITH {_TFIDF}, m AS (SELECT q.id AS s1_id, d.id AS s2_id, round(sum(q.w * d.w), 9) AS score FROM qw q JOIN dw d USING (term) WHERE q.df <= 100 GROUP BY ALL)
+    SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM m WHERE score > 0) WHERE rank <= {K}""")
+def tfidf_masked_topk(t) -> DataFrame:
+    return _out(_tfidf(t).search(t("benchmark"), "item_id", "text", K, max_df=100))
+
+
+@query(f"""WITH {_TFIDF},
+    o AS (SELECT id, term, df, row_number() OVER (PARTITION BY id ORDER BY df, term) AS n FROM qw),
+    u AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY df, term) AS turn FROM o WHERE df <= 200 OR n = 1),
+    p AS (SELECT u.id AS s1_id, d.id AS s2_id, min(turn) AS turn FROM u JOIN dw d USING (term) WHERE turn <= 10 GROUP BY ALL),
+    a AS (SELECT s1_id, turn, coalesce(sum(count(*)) OVER (PARTITION BY s1_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p GROUP BY s1_id, turn),
+    c AS (SELECT s1_id, s2_id FROM (SELECT p.*, row_number() OVER (PARTITION BY s1_id ORDER BY turn, s2_id) AS n FROM p JOIN a USING (s1_id, turn) WHERE before <= 100) WHERE n <= 100)
+    SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM cosine JOIN c USING (s1_id, s2_id) WHERE score > 0) WHERE rank <= {K}""")
+def blocked_topk(t) -> DataFrame:
+    return _out(_tfidf(t).search_blocked(t("benchmark"), "item_id", "text", K, max_posting=200, max_terms=10, max_pool=100))
+
+
+@query(f"""WITH {_TFIDF}, z AS (SELECT item_id AS s1_id, doc_id AS s2_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN cosine ON s1_id = item_id AND s2_id = doc_id)
+    SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM z) WHERE rank <= {K}""")
+def word_tfidf_padded_topk(t) -> DataFrame:
+    return _out(_tfidf(t, max_features=200_000).search_padded(t("benchmark"), "item_id", "text", K))
+
+
+@query(f"WITH {_BM25A} {_RANKED} bm25a")
+def bm25_a_topk(t) -> DataFrame:
+    return _out(_bm25a_found(t))
+
+
+@query(f"WITH {_BM25B} {_RANKED} bm25b")
+def bm25_b_topk(t) -> DataFrame:
+    return _out(_bm25b_found(t))
+
+
+@query(f"WITH {_BM25L} {_RANKED} bm25l")
+def bm25_library_topk(t) -> DataFrame:
+    return _out(retrieve.Bm25Retriever(t("documents"), "doc_id", "text", T.TOKENIZERS["w2_english"]).search(t("benchmark"), "item_id", "text", K))
+
+
+@query(f"""
+    WITH s AS (SELECT s_suppkey AS id, unnest(string_split(lower(s_name), ' ')) AS w FROM supplier), c AS (SELECT c_custkey AS id, unnest(string_split(lower(c_name), ' ')) AS w FROM customer),
+    ns AS (SELECT unnest([3, 4, 5]) AS n),
+    sg AS (SELECT id, substr(' ' || w || ' ', i, n) AS term, count(*) AS tf FROM s, ns, range(1, 64) r(i) WHERE w <> '' AND i <= length(w) + 3 - n GROUP BY ALL),
+    cg AS (SELECT id, substr(' ' || w || ' ', i, n) AS term, count(*) AS tf FROM c, ns, range(1, 64) r(i) WHERE w <> '' AND i <= length(w) + 3 - n GROUP BY ALL),
+    vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM customer)) / (1 + count(*))) + 1 AS idf FROM cg GROUP BY term),
+    cw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM cg JOIN vocab USING (term)),
+    sw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM sg JOIN vocab USING (term)),
+    z AS (SELECT sw.id AS s1_id, cw.id AS s2_id, round(sum(sw.w * cw.w), 9) AS score FROM sw JOIN cw USING (term) GROUP BY ALL)
+    SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM z WHERE score > 0) WHERE rank <= {K}""")
+def char_ngram_topk(t) -> DataFrame:
+    found = retrieve.TfidfRetriever(t("customer"), "c_custkey", "c_name", T.TOKENIZERS["char_3_5"], max_features=300_000)
+    return _out(found.search(t("supplier"), "s_suppkey", "s_name", K))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rank FROM part WHERE p_name <> ''),
+    n AS (SELECT DISTINCT p_name FROM part)
+    SELECT p_name AS s1_id, p_partkey AS s2_id, CAST(rank AS INTEGER) AS rank, 1.0::DOUBLE AS score FROM n JOIN p USING (p_name) WHERE rank <= 100""")
+def exact_name_lookup(t) -> DataFrame:
+    names = t("part").select("p_name").distinct()
+    return _out(retrieve.exact_lookup(names, "p_name", F.col("p_name"), t("part"), "p_partkey", F.col("p_name")))
+
+
+@query(f"""
+    WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    q AS (SELECT label, [sum(e[i]) FOR i IN range(1, 65)] AS e FROM v GROUP BY label),
+    c AS (SELECT label, list(s ORDER BY i) AS e FROM (SELECT label, i, round(avg(e[i]), 6) AS s FROM v, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+    z AS (SELECT c.label AS s1_id, vec_id AS s2_id, round(list_dot_product(c.e, v.e), 9) AS score FROM c, v)
+    SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM z) WHERE rank <= {K}""".replace("    q AS (SELECT label, [sum(e[i]) FOR i IN range(1, 65)] AS e FROM v GROUP BY label),\n", ""))
+def dense_topk(t) -> DataFrame:
+    """Label centroids as queries against all vectors."""
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    parts = vectors.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.round(F.avg("x"), 6).alias("x"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
+    centroids = parts.groupBy("label").agg(ordered.alias("v")).select(F.col("label").alias("id"), "v")
+    return _out(retrieve.dense(centroids, vectors, K))
+
+
+# ---------------------------------------------------------------- fusion
+
+_VIEWS = f"{_TFIDF}, {_BM25B}, views AS (SELECT *, 'tfidf' AS view FROM tfidf UNION ALL SELECT *, 'bm25' AS view FROM bm25b)"
+_FUSED = """fused AS (SELECT s1_id, s2_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS rrf_score, array_to_string(list_sort(list(DISTINCT view)), ',') AS views,
+        max(score) AS score, CAST(count(DISTINCT view) AS INTEGER) AS num_views FROM views GROUP BY ALL),
+    ranked AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY s1_id ORDER BY rrf_score DESC) AS INTEGER) AS fused_rank FROM fused)"""
+
+
+def _views(t) -> DataFrame:
+    return fuse.label_views({"tfidf": _tfidf_found(t), "bm25": _bm25b_found(t)})
+
+
+def _fused(t) -> DataFrame:
+    return fuse.reciprocal_rank(_views(t))
+
+
+@query(f"WITH {_VIEWS}, {_FUSED} SELECT s1_id, s2_id, round(rrf_score, 6) AS rrf_score, views, round(score, 6) AS score, num_views, fused_rank FROM ranked")
+def rrf_fusion(t) -> DataFrame:
+    return _fused(t).select("s1_id", "s2_id", r6("rrf_score").alias("rrf_score"), F.array_join("view", ",").alias("views"), r6("score").alias("score"), "num_views", "fused_rank")
+
+
+@query(f"WITH {_VIEWS} SELECT s1_id, s2_id, min(rank) AS rank FROM views GROUP BY ALL")
+def union_best_rank(t) -> DataFrame:
+    return fuse.best_rank(_views(t))
+
+
+@query(f"""WITH {_VIEWS}, b AS (SELECT s1_id, s2_id, min(rank) AS rank FROM views GROUP BY ALL)
+    SELECT s1_id, s2_id, CAST(place AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY rank, s2_id) AS place FROM b) WHERE place <= 10""")
+def union_topk(t) -> DataFrame:
+    return fuse.union_top(_views(t), 10)
+
+
+@query(f"""WITH {_VIEWS}, {_TRUTH}, f AS (SELECT a.s2_id IS NOT NULL AS x, b.s2_id IS NOT NULL AS y FROM truth t
+        LEFT JOIN tfidf a ON a.s1_id = t.s1_id AND a.s2_id = t.s2_id LEFT JOIN bm25b b ON b.s1_id = t.s1_id AND b.s2_id = t.s2_id)
+    SELECT count(*) FILTER (x AND NOT y) AS tfidf_only, count(*) FILTER (y AND NOT x) AS bm25_only, count(*) FILTER (x AND y) AS both, count(*) FILTER (NOT x AND NOT y) AS missed FROM f""")
+def view_coverage(t) -> DataFrame:
+    return fuse.retrieved_by(_truth(t), _tfidf_found(t), _bm25b_found(t), ("tfidf", "bm25"))
+
+
+@query(f"""WITH {_VIEWS}, a AS (SELECT s1_id, s2_id FROM tfidf), b AS (SELECT s1_id, s2_id FROM bm25b)
+    SELECT *, 'both' AS part FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'tfidf' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def result_set_ops(t) -> DataFrame:
+    a, b, pair = _tfidf_found(t), _bm25b_found(t), ["s1_id", "s2_id"]
+    return fuse.intersection(a, b, pair).withColumn("part", F.lit("both")).unionByName(fuse.difference(a, b, pair).withColumn("part", F.lit("tfidf")))
+
+
+@query("""SELECT entity_id, source FROM (SELECT 's' || s_suppkey AS entity_id, 'supplier' AS source FROM supplier UNION ALL SELECT 'c' || c_custkey, 'customer' FROM customer)""")
+def corpus_union(t) -> DataFrame:
+    part = lambda name, key: t(name).select(F.concat(F.lit(name[0]), F.col(key)).alias("entity_id"), F.lit(name).alias("source"))
+    return part("supplier", "s_suppkey").unionByName(part("customer", "c_custkey"))
+
+
+# ---------------------------------------------------------------- evidence
+
+
+def _passage_pairs(t) -> DataFrame:
+    """TF-IDF candidates with both whole texts as names, sources as addresses, languages as countries."""
+    left = t("benchmark").select(F.col("item_id").alias("entity_id"), F.lower("text").alias("name"), F.lit("").alias("addr"), F.lit("").alias("country"))
+    right = t("documents").select(F.col("doc_id").alias("entity_id"), F.lower("text").alias("name"), F.col("source").alias("addr"), F.col("lang").alias("country"))
+    return evidence.paired(_tfidf_found(t), left, right)
+
+
+_SP = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\s\p{{Z}}]+'), lambda x: x <> ''))"
+_PAIRS = f"pairs AS (SELECT s1_id, s2_id, {_SP.format('b.text')} AS a, {_SP.format('d.text')} AS b, lower(b.text) = lower(d.text) AS same FROM tfidf JOIN benchmark b ON item_id = s1_id JOIN documents d ON doc_id = s2_id)"
+_RECORD_PAIRS = r"""pairs AS (
+        SELECT s_suppkey AS s1_id, c_custkey AS s2_id, lower(s_name) AS n1, lower(c_name) AS n2, lower(a.n_name) || ' ' || s_nationkey AS a1, lower(b.n_name) || ' ' || c_nationkey AS a2,
+               lower(a.n_name) AS k1, lower(b.n_name) AS k2, CAST(s_nationkey AS VARCHAR) AS x1, CAST(c_nationkey AS VARCHAR) AS x2
+        FROM supplier JOIN customer ON regexp_extract(s_name, '\d+') = regexp_extract(c_name, '\d+') JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey)"""
+
+
+def _record_pairs(t) -> DataFrame:
+    """Suppliers and customers that share the number in their names; nation name and key as address, nation as country."""
+    nation = t("nation").select("n_nationkey", F.lower("n_name").alias("country"))
+    def side(name: str, prefix: str, key: str, n: int) -> DataFrame:
+        rows = t(name).join(nation, F.col(f"{prefix}_nationkey") == F.col("n_nationkey"))
+        addr = F.concat_ws(" ", "country", F.col("n_nationkey").cast("string"))
+        return rows.select(F.col(key).alias(f"s{n}_id"), F.lower(f"{prefix}_name").alias(f"name_{n}"), addr.alias(f"addr_{n}"), F.col("country").alias(f"country_{n}"), F.regexp_extract(f"{prefix}_name", r"\d+", 0).alias("number"))
+    return side("supplier", "s", "s_suppkey", 1).join(side("customer", "c", "c_custkey", 2), "number").drop("number")
+
+
+@query(f"""WITH {_TFIDF}, {_PAIRS} SELECT s1_id, s2_id, CAST(same AS INTEGER) AS name_exact_match,
+        round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS name_token_jaccard, 1 AS addr_missing, 0 AS name_missing, 1 AS country_missing FROM pairs""")
+def passage_evidence(t) -> DataFrame:
+    out = evidence.native(_passage_pairs(t))
+    return out.select("s1_id", "s2_id", "name_exact_match", r6("name_token_jaccard").alias("name_token_jaccard"), "addr_missing", "name_missing", "country_missing")
+
+
+@query(rf"""WITH {_RECORD_PAIRS} SELECT s1_id, s2_id, CAST(n1 = n2 AS INTEGER) AS name_exact_match, CAST(a1 = a2 AS INTEGER) AS addr_exact_match,
+        round(len(list_intersect(string_split(a1, ' '), string_split(a2, ' '))) / len(list_distinct(list_concat(string_split(a1, ' '), string_split(a2, ' ')))), 6) AS addr_token_jaccard,
+        CAST(x1 = x2 AS INTEGER) AS num_exact_agreement, CAST(x1 = x2 AS INTEGER) AS num_overlap, CAST(x1 <> x2 AS INTEGER) AS num_conflict,
+        CAST(k1 = k2 AS INTEGER) AS country_match, CAST(k1 <> k2 AS INTEGER) AS country_conflict, 0 AS name_missing, 0 AS addr_missing, 0 AS country_missing FROM pairs""")
+def record_evidence(t) -> DataFrame:
+    out = evidence.native(_record_pairs(t)).withColumn("addr_token_jaccard", r6("addr_token_jaccard"))
+    return out.select("s1_id", "s2_id", "name_exact_match", "addr_exact_match", "addr_token_jaccard", "num_exact_agreement", "num_overlap", "num_conflict", "country_match", "country_conflict", "name_missing", "addr_missing", "country_missing")
+
+
+@query()
+def indel_ratios(t) -> DataFrame:
+    out = evidence.fuzzy_ratios(_record_pairs(t))
+    return out.select("s1_id", "s2_id", "name_fuzz_ratio", "name_fuzz_token_set", "name_fuzz_token_sort", "addr_fuzz_token_set", "name_contradiction", "addr_contradiction")
+
+
+_IDF = r"""idf AS (SELECT term, ln((SELECT count(*) FROM documents) / (count(DISTINCT doc_id) + 1)) AS idf FROM
+        (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\p{Z}]+'), lambda x: x <> '')) AS term FROM documents) GROUP BY term)"""
+
+
+def _idf(t) -> DataFrame:
+    return index.evidence_idf(t("documents"), "doc_id", T.space_tokens(F.lower("text")))
+
+
+@query(f"WITH {_IDF} SELECT term, round(idf, 6) AS idf FROM idf")
+def idf_table(t) -> DataFrame:
+    return _idf(t).select("term", r6("idf").alias("idf"))
+
+
+@query(f"""WITH {_TFIDF}, {_PAIRS}, {_IDF}, x AS (SELECT s1_id, s2_id, a, b, unnest(list_distinct(list_concat(a, b))) AS term FROM pairs),
+    s AS (SELECT s1_id, s2_id, sum(idf) AS every, sum(CASE WHEN list_contains(a, term) AND list_contains(b, term) THEN idf ELSE 0 END) AS common FROM x JOIN idf USING (term) GROUP BY ALL)
+    SELECT s1_id, s2_id, round(CASE WHEN every > 0 THEN common / every ELSE 0 END, 6) AS name_idf_jaccard FROM s""")
+def idf_jaccard(t) -> DataFrame:
+    out = evidence.idf_jaccard(_passage_pairs(t), _idf(t))
+    return out.select("s1_id", "s2_id", r6("name_idf_jaccard").alias("name_idf_jaccard"))
+
+
+@query()
+def evidence_dataset(t) -> DataFrame:
+    """All 19 features of supplier and customer records that retrieval pairs by name."""
+    nation = t("nation").select("n_nationkey", F.lower("n_name").alias("country"))
+    def records(name: str, prefix: str, key: str) -> DataFrame:
+        rows = t(name).join(nation, F.col(f"{prefix}_nationkey") == F.col("n_nationkey"))
+        return rows.select(F.col(key).alias("entity_id"), F.lower(f"{prefix}_name").alias("name"), F.concat_ws(" ", "country", F.col("n_nationkey").cast("string")).alias("addr"), "country")
+    left, right = records("supplier", "s", "s_suppkey"), records("customer", "c", "c_custkey")
+    found = retrieve.TfidfRetriever(right, "entity_id", "name", T.TOKENIZERS["w2"]).search(left, "entity_id", "name", K)
+    return evidence.dataset(found, left, right, index.evidence_idf(right, "entity_id", T.space_tokens(F.col("name")))).drop("name_1", "name_2")
+
+
+# ---------------------------------------------------------------- competition and decision
+
+
+@query(f"""WITH {_VIEWS}, {_FUSED}, p AS (SELECT s1_id, s2_id, rrf_score, dense_rank() OVER w AS candidate_rank, row_number() OVER w AS place FROM ranked WINDOW w AS (PARTITION BY s1_id ORDER BY rrf_score DESC)),
+    m AS (SELECT s1_id, coalesce(max(rrf_score) FILTER (place = 1), 0) AS t1, coalesce(max(rrf_score) FILTER (place = 2), 0) AS t2, coalesce(max(rrf_score) FILTER (place = 3), 0) AS t3 FROM p GROUP BY s1_id)
+    SELECT s1_id, s2_id, CAST(candidate_rank AS INTEGER) AS candidate_rank, round(t1, 6) AS top1_score, round(t2, 6) AS top2_score, round(t3, 6) AS top3_score,
+           round(t1 - t2, 6) AS top1_top2_margin, round(t1 - t3, 6) AS top1_top3_margin, round((t1 + t2 + t3) / 3, 6) AS mean_top3 FROM p JOIN m USING (s1_id)""")
+def competition_features(t) -> DataFrame:
+    out = compete.competition(_fused(t), "rrf_score")
+    return out.select("s1_id", "s2_id", "candidate_rank", *(r6(c).alias(c) for c in ("top1_score", "top2_score", "top3_score", "top1_top2_margin", "top1_top3_margin", "mean_top3")))
+
+
+@query(f"""WITH {_VIEWS}, {_FUSED}, f AS (SELECT s2_id, count(DISTINCT s1_id) AS candidate_frequency FROM ranked GROUP BY s2_id)
+    SELECT s1_id, s2_id, candidate_frequency, round(ln(((SELECT count(*) FROM benchmark) + 1) / (candidate_frequency + 1)), 6) AS inverse_candidate_frequency FROM ranked JOIN f USING (s2_id)""")
+def popularity_features(t) -> DataFrame:
+    out = compete.popularity(_fused(t), t("benchmark").count())
+    return out.select("s1_id", "s2_id", "candidate_frequency", r6("inverse_candidate_frequency").alias("inverse_candidate_frequency"))
+
+
+def _scored(t) -> DataFrame:
+    """Fused candidates with label and a prediction: the fused score as a share of the best possible."""
+    pred = F.round(F.col("rrf_score") / (2 / 61), 9)
+    return decide.labelled(_fused(t), _truth(t)).withColumn("pred", pred)
+
+
+_SCORED = f"{_VIEWS}, {_FUSED}, {_TRUTH}, scored AS (SELECT r.*, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label, round(rrf_score / (2.0::DOUBLE / 61), 9) AS pred FROM ranked r LEFT JOIN truth t ON t.s1_id = r.s1_id AND t.s2_id = r.s2_id)"
+
+
+@query(f"WITH {_SCORED} SELECT s1_id, s2_id, label FROM scored")
+def label_join(t) -> DataFrame:
+    return _scored(t).select("s1_id", "s2_id", "label")
+
+
+@query(f"WITH {_SCORED} SELECT s1_id, s2_id, round(pred, 6) AS pred FROM scored WHERE label = 0 AND pred > 0.5")
+def hard_negatives(t) -> DataFrame:
+    return decide.hard_negatives(_scored(t)).select("s1_id", "s2_id", r6("pred").alias("pred"))
+
+
+@query()
+def group_folds(t) -> DataFrame:
+    return decide.with_fold(_scored(t)).select("s1_id", "s2_id", "fold")
+
+
+@query(f"""WITH {_SCORED}, k AS (SELECT s1_id, string_agg(CAST(s2_id AS VARCHAR), ',' ORDER BY CAST(s2_id AS VARCHAR)) AS ids FROM scored WHERE pred >= 0.9 GROUP BY s1_id)
+    SELECT item_id AS source1_entity_id, coalesce(ids, '') AS matched_entity_ids FROM benchmark LEFT JOIN k ON s1_id = item_id""")
+def singleton_gate(t) -> DataFrame:
+    rows = _scored(t).withColumn("s2_id", F.col("s2_id").cast("string"))
+    return decide.gate(rows, t("benchmark").select(F.col("item_id").alias("s1_id")), 0.9)
+
+
+@query(f"""WITH {_SCORED}, g AS (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in decide.GRID)}]) AS threshold),
+    m AS (SELECT s1_id, threshold, count(*) AS n, sum(label) AS hits FROM scored, g WHERE pred >= threshold GROUP BY ALL), r AS (SELECT s1_id, count(*) AS real FROM truth GROUP BY s1_id),
+    e AS (SELECT threshold, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits, coalesce(real, 0) AS real FROM (SELECT item_id AS s1_id, threshold FROM benchmark, g) LEFT JOIN m USING (s1_id, threshold) LEFT JOIN r USING (s1_id))
+    SELECT threshold, round(avg(CASE WHEN n = 0 AND real = 0 THEN 1 WHEN hits = 0 THEN 0 ELSE 1.25 * (hits / n) * (hits / real) / (0.25 * (hits / n) + hits / real) END), 6) AS f05 FROM e GROUP BY threshold""")
+def f05_sweep(t) -> DataFrame:
+    out = decide.f05_sweep(_scored(t).drop("label"), _truth(t), t("benchmark").select(F.col("item_id").alias("s1_id")))
+    return out.select("threshold", r6("f05").alias("f05"))
+
+
+def _trained(t) -> DataFrame:
+    rows = compete.competition(_scored(t), "rrf_score").fillna(0.0)
+    names = ["rrf_score", "score", "num_views", "fused_rank", "candidate_rank", "top1_top2_margin", "mean_top3"]
+    return decide.predict(decide.fit_matcher(rows.drop("pred"), names, rounds=10, depth=3), rows.drop("pred"))
+
+
+@query()
+def gbt_matcher(t) -> DataFrame:
+    return _trained(t).select("s1_id", "s2_id", "label", r6("pred").alias("pred"))
+
+
+@query()
+def calibrated_scores(t) -> DataFrame:
+    return decide.calibrate(_scored(t)).select("s1_id", "s2_id", "label", r6("calibrated").alias("calibrated"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_KS = evaluate.KS
+
+
+@query(f"""WITH {_TFIDF}, {_TRUTH}, r AS (SELECT s1_id, count(*) AS real FROM truth GROUP BY s1_id),
+    h AS (SELECT r.s1_id, real, {", ".join(f"count(*) FILTER (f.rank <= {k} AND t.s2_id IS NOT NULL) AS h{k}" for k in _KS)} FROM r JOIN tfidf f USING (s1_id) LEFT JOIN truth t ON t.s1_id = f.s1_id AND t.s2_id = f.s2_id GROUP BY ALL)
+    SELECT {", ".join(f"round(coalesce(avg(h{k} / real), 0), 6) AS recall_{k}" for k in _KS)} FROM h""")
+def recall_macro(t) -> DataFrame:
+    out = evaluate.recall_macro(_tfidf_found(t), _truth(t))
+    return out.select(*(r6(c).alias(c) for c in out.columns))
+
+
+_MICRO = ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (f.rank <= {k}) / count(*), 2) AS recall_{k}" for k in _KS)
+
+
+@query(f"WITH {_TFIDF}, {_TRUTH} SELECT {_MICRO} FROM truth t LEFT JOIN tfidf f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id")
+def recall_micro(t) -> DataFrame:
+    return evaluate.recall_micro(_tfidf_found(t), _truth(t))
+
+
+#: The part of the corpus that conditional figures look at.
+_HELD = "corpus AS (SELECT doc_id AS s2_id FROM documents WHERE lang = 'en')"
+
+
+def _held(t) -> DataFrame:
+    return t("documents").where("lang = 'en'").select(F.col("doc_id").alias("s2_id"))
+
+
+@query(f"WITH {_TFIDF}, {_TRUTH}, {_HELD} SELECT {_MICRO} FROM truth t SEMI JOIN corpus USING (s2_id) LEFT JOIN tfidf f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id")
+def recall_conditional(t) -> DataFrame:
+    return evaluate.recall_conditional(_tfidf_found(t), _truth(t), _held(t))
+
+
+@query(f"""WITH {_TRUTH}, {_HELD}, p AS (SELECT s1_id, count(*) AS n, count(c.s2_id) AS present FROM truth t LEFT JOIN corpus c ON c.s2_id = t.s2_id GROUP BY s1_id)
+    SELECT CAST(sum(n) AS BIGINT) AS total_gt_pairs, CAST(sum(present) AS BIGINT) AS in_corpus, CAST(sum(n - present) AS BIGINT) AS absent, round(100.0::DOUBLE * sum(present) / sum(n), 2) AS coverage_pct,
+           round(100.0::DOUBLE * avg(present / n), 2) AS avg_per_query_coverage_pct, count(*) FILTER (present > 0) AS queries_with_any_in_corpus, count(*) FILTER (present = 0) AS queries_with_all_absent FROM p""")
+def corpus_coverage(t) -> DataFrame:
+    return evaluate.coverage(_truth(t), _held(t))
+
+
+def _overlap_sql(body: str) -> str:
+    one = lambda k: f"o{k} AS (SELECT s1_id, count(a) AS na, count(b) AS nb, count(a + b) AS shared FROM (SELECT coalesce(x.s1_id, y.s1_id) AS s1_id, x.rank AS a, y.rank AS b FROM (SELECT * FROM tfidf WHERE rank <= {k}) x FULL JOIN (SELECT * FROM bm25b WHERE rank <= {k}) y ON x.s1_id = y.s1_id AND x.s2_id = y.s2_id) GROUP BY s1_id)"
+    return f"WITH {_TFIDF}, {_BM25B}, {', '.join(map(one, _KS))} " + " UNION ALL ".join(body.format(k=k) for k in _KS)
+
+
+@query(_overlap_sql("SELECT {k} AS k, round(avg(shared / {k}), 6) AS overlap FROM o{k} WHERE na > 0 AND nb > 0"))
+def topk_overlap_by_k(t) -> DataFrame:
+    return evaluate.overlap_by_k(_tfidf_found(t), _bm25b_found(t)).select("k", r6("overlap").alias("overlap"))
+
+
+@query(_overlap_sql("SELECT {k} AS k, round(100.0::DOUBLE * avg(CASE WHEN coalesce(greatest(na, nb), 0) = 0 THEN 1 ELSE shared / greatest(na, nb) END), 2) AS overlap FROM benchmark LEFT JOIN o{k} ON s1_id = item_id"))
+def topk_overlap_by_size(t) -> DataFrame:
+    return evaluate.overlap_by_size(_tfidf_found(t), _bm25b_found(t), t("benchmark").select(F.col("item_id").alias("s1_id")))
+
+
+_TOKS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN (" + _STOP + ")))"
+
+
+@query(f"""WITH {_TFIDF}, {_TRUTH}, {_HELD}, m AS (SELECT t.s1_id, t.s2_id FROM truth t SEMI JOIN corpus USING (s2_id) ANTI JOIN (SELECT * FROM tfidf WHERE rank <= 5) f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id)
+    SELECT s1_id, s2_id FROM m""")
+def missed_pairs(t) -> DataFrame:
+    return evaluate.missed_pairs(_truth(t), _tfidf_found(t), _held(t), 5)
+
+
+@query(rf"""WITH {_RECORD_PAIRS} SELECT s1_id, s2_id, CASE WHEN n1 = n2 THEN 'exact_name' WHEN regexp_matches(n1, '\d') OR regexp_matches(n2, '\d') THEN 'numeric_identifier' ELSE 'other' END AS category FROM pairs""")
+def failure_categories(t) -> DataFrame:
+    c = evaluate.failure_category(*(F.col(x) for x in ("name_1", "name_2", "addr_1", "addr_2")))
+    return _record_pairs(t).select("s1_id", "s2_id", c.alias("category"))
+
+
+@query()
+def failure_histogram(t) -> DataFrame:
+    """Why passages' true documents were missed: counts by category."""
+    texts = t("documents").select(F.col("doc_id").alias("s2_id"), F.col("text").alias("n2"), F.col("source").alias("a2"))
+    asked = t("benchmark").select(F.col("item_id").alias("s1_id"), F.col("text").alias("n1"))
+    rows = evaluate.missed_pairs(_truth(t), _tfidf_found(t), _held(t), 5).join(texts, "s2_id").join(asked, "s1_id")
+    category = evaluate.failure_category(F.lower("n1"), F.lower("n2"), F.lit(""), F.col("a2"))
+    return rows.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+
+
+@query()
+def failure_examples(t) -> DataFrame:
+    names = t("documents").select(F.col("doc_id").alias("s2_id"), F.md5("text").alias("name"))
+    found = _tfidf_found(t)
+    return evaluate.failure_examples(evaluate.missed_pairs(_truth(t), found, _held(t), 5), found, names)
+
+
+@query(f"""WITH {_TFIDF}, {_BM25B}, {_TRUTH}, r AS (
+        SELECT 'tfidf' AS baseline, round(100.0::DOUBLE * count(f.rank) / count(*), 2) AS recall FROM truth t LEFT JOIN tfidf f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id
+        UNION ALL SELECT 'bm25', round(100.0::DOUBLE * count(f.rank) / count(*), 2) FROM truth t LEFT JOIN bm25b f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id)
+    SELECT * FROM r ORDER BY recall DESC, baseline LIMIT 1""")
+def best_baseline(t) -> DataFrame:
+    truth = _truth(t)
+    at = lambda name, found: evaluate.recall_micro(found, truth, [K]).select(F.lit(name).alias("baseline"), F.col(f"recall_{K}").alias("recall"))
+    return evaluate.best_baseline(at("tfidf", _tfidf_found(t)).unionByName(at("bm25", _bm25b_found(t))))
