@@ -15,19 +15,21 @@ they occur, null doc_ids stay null, other columns are ignored, an empty table gi
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 WINDOW, SHORTEST = 2048, 128
 END_ID = 1
+END = array("I", [END_ID]).tobytes()
 #: Tokens that a task holds back before it packs them, and tokens of a step group.
 BUFFER_TOKENS, STEP_TOKENS = 1 << 20, 1 << 16
 SCHEMA = (
@@ -40,38 +42,48 @@ class WordTokenizer:
     """A tokenizers file whose pre-tokens are encoded one by one, so that ids are kept by pre-token.
 
     The split is the file's own; a text with characters on which regex engines could differ goes through the library whole.
+    Ids are held as little-endian bytes, for joining.
     """
 
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
     #: Printable ASCII, usual white space and Latin letters, which are the same in every Unicode version.
-    PLAIN = regex.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
+    PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
+    #: Pre-tokens of the newer of two generations.
     HELD = 400_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
-        probe = "It's 12 Éü, <|endoftext|> ??  x\ny"
-        self.split_ok = self.by_word([probe])[0] == self.whole(probe)
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def by_word(self, texts: list[str]) -> list[list[int]]:
-        split = [self.SPLIT.findall(t.lower()) for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if len(self.known) + len(new) > self.HELD:
-            self.known.clear()
-            new = list({w for ws in split for w in ws})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
-        known = self.known
-        return [[i for w in ws for i in known[w]] for ws in split]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(self.split_ok and self.PLAIN.fullmatch(t)) for t in texts]
-        fast = iter(self.by_word([t for t, p in zip(texts, plain, strict=True) if p]))
-        return [np.array([*(next(fast) if p else self.whole(t)), END_ID], dtype="<u4") for t, p in zip(texts, plain, strict=True)]
+        self.model = self.tokenizer.model
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in shown]
+        self.byte_chars = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(rest)})
+        probe = "It's 12 Éü, <|endoftext|> ??  x\ny Straße_9 l'été"
+        self.split_ok = self.by_word(probe) == self.whole(probe)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def word(self, w: str) -> bytes:
+        """The ids of a pre-token: its bytes as the characters that stand for them, merged by the model."""
+        return array("I", [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.byte_chars))]).tobytes()
+
+    def by_word(self, text: str) -> bytes:
+        split, new, old = self.SPLIT.findall(text.lower()), self.new, self.old
+        for w in set(split):
+            if w not in new:
+                found = old.get(w)
+                new[w] = self.word(w) if found is None else found
+        out = b"".join(map(new.__getitem__, split))
+        if len(new) > self.HELD:
+            self.old, self.new = new, {}
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        ids = self.by_word(text) if self.split_ok and self.PLAIN.fullmatch(text) else self.whole(text)
+        return np.frombuffer(ids + END, dtype="<u4")
 
 
 @lru_cache(maxsize=2)
@@ -195,11 +207,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shortest: int = SHORT
         packer = Packer(TaskContext.get().partitionId(), window, shortest)
         encoder = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc, x in zip(part.column(0).to_pylist(), ids, strict=True):
-                    packer.add(doc, x)
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                packer.add(doc.as_py(), encoder.encode(text.as_py() or ""))
             yield batch_of(packer.take())
         packer.pack()
         yield batch_of(packer.take())
