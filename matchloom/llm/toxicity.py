@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
-MIN_DOCS, MAX_FEATURES = 3, 60_000
+MIN_DOCS, MAX_FEATURES = 10, 60_000
 PREFIXES = (3, 4, 5)
 #: Words whose summed weights a worker keeps.
 HELD = 500_000
 #: Words of an instance at most; a longer sentence is several instances.
 SENTENCE_WORDS = 60
-ROUNDS, RATE, DECAY = 150, 0.15, 2e-4
+ROUNDS, RATE, DECAY = 300, 0.15, 1e-5
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, score double, spans array<struct<start:int,stop:int,score:double>>"
@@ -63,49 +64,65 @@ def features(word: str) -> list[str]:
 
 
 def fit(texts: list[str], toxic: list[int]) -> SentenceModel:
-    """Full-batch Adam on the noisy-or likelihood, with decay on the weights."""
-    seen: dict[str, int] = {}
-    bags = []
-    for t in texts:
-        bag = [[f for w in set(ws) for f in features(w)] for *_, ws in sentences(t)]
-        bags.append(bag)
-        for w in set().union(*bag):
-            seen[w] = seen.get(w, 0) + 1
-    vocabulary = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_FEATURES]
-    index = {w: i for i, w in enumerate(vocabulary)}
-    word, sentence, doc, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for ws in bag:
-            known = [index[w] for w in ws if w in index]
-            word += known
-            sentence += [n] * len(known)
+    """Full-batch Adam on the noisy-or likelihood, with decay on the weights, which are kept at or above 0.
+
+    So a word can only add to the evidence, and an offence counts whatever stands beside it.
+
+    A sentence adds up its distinct words, a word its features, so sums run over words and then over features.
+    """
+    words: dict[str, int] = {}
+    word, sentence, doc = array("i"), array("i"), array("i")
+    n = 0
+    for d, t in enumerate(texts):
+        for *_, ws in sentences(t):
+            own = [words.setdefault(w, len(words)) for w in set(ws)]
+            word.extend(own)
+            sentence.extend([n] * len(own))
             doc.append(d)
             n += 1
+    word, sentence, doc = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (word, sentence, doc))
     if not n or len(set(toxic)) < 2:
         return SentenceModel({}, -50.0)
-    word, sentence, doc = (np.array(x, dtype=np.int64) for x in (word, sentence, doc))
+    # features, and how many documents hold each
+    names: dict[str, int] = {}
+    of_word, of_feature = array("i"), array("i")
+    for w, i in words.items():
+        for f in features(w):
+            of_word.append(i)
+            of_feature.append(names.setdefault(f, len(names)))
+    of_word, of_feature = np.frombuffer(of_word, dtype=np.int32), np.frombuffer(of_feature, dtype=np.int32)
+    spots = np.unique(doc[sentence].astype(np.int64) * len(words) + word)
+    spots = np.bincount(spots % len(words), minlength=len(words))  # documents of each word
+    seen = np.bincount(of_feature, spots[of_word], len(names))  # at least the documents of each feature
+    order = np.lexsort((np.arange(len(names)), -seen))[:MAX_FEATURES]
+    index = np.full(len(names), -1)
+    index[order[seen[order] >= MIN_DOCS]] = np.arange(int((seen[order] >= MIN_DOCS).sum()))
+    known = index[of_feature] >= 0
+    of_word, of_feature = of_word[known], index[of_feature[known]]
+    size = int(index.max(initial=-1)) + 1
     y = np.array(toxic, dtype=float)
-    v, bias = np.zeros(len(vocabulary)), -6.0
-    m1, m2 = np.zeros(len(v) + 1), np.zeros(len(v) + 1)
+    v, bias = np.zeros(size), -6.0
+    m1, m2 = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, ROUNDS + 1):
-        z = bias + np.bincount(sentence, v[word], n)
+        z = bias + np.bincount(sentence, np.bincount(of_word, v[of_feature], len(words))[word], n)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         miss = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
         bag_p = np.clip(1 - miss, 1e-9, 1)
         g = p * (1 - y[doc] / bag_p[doc])
-        grad = np.append(np.bincount(word, g[sentence], len(v)), g.sum()) / len(y)
+        by_word = np.bincount(word, g[sentence], len(words))
+        grad = np.append(np.bincount(of_feature, by_word[of_word], size), g.sum()) / len(y)
         grad[:-1] += DECAY * v
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad**2
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        v, bias = v - move[:-1], bias - move[-1]
-    return SentenceModel({w: float(x) for w, x in zip(vocabulary, v, strict=True) if abs(x) > 0.02}, float(bias))
+        v, bias = np.maximum(0, v - move[:-1]), bias - move[-1]
+    return SentenceModel({f: float(v[i]) for f, j in names.items() if (i := index[j]) >= 0 and abs(v[i]) > 0.02}, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> SentenceModel:
     """Fit on the labelled rows of smallest hash: at most max_docs of each class, texts up to max_chars.
 
-    labels has doc_id and toxic; both bounds keep what the driver holds bounded.
+    labels has doc_id and toxic. One task fits the model on this bounded sample; the driver holds its weights alone.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -113,8 +130,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_ch
     chosen = known.where("toxic = 1").orderBy(order).limit(max_docs).unionByName(known.where("toxic = 0").orderBy(order).limit(max_docs))
     small = F.broadcast(chosen)  # 2 * max_docs rows of two numbers at most
     rows = docs.where(F.length("text") <= max_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small, "doc_id")
-    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").select("text", "toxic").collect()
-    return fit([r[0] for r in got], [r[1] for r in got])
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def learn(sample: pa.Table) -> pa.Table:
+        by_id = sample.sort_by("doc_id")
+        model = fit(by_id.column("text").to_pylist(), by_id.column("toxic").to_pylist())
+        return pa.table({"feature": pa.array(["", *model.weights], pa.string()), "weight": pa.array([model.bias, *model.weights.values()], pa.float64())})
+
+    got = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "feature string, weight double").collect()  # MAX_FEATURES rows at most
+    weights = {r[0]: r[1] for r in got}
+    bias = weights.pop("", -50.0)
+    return SentenceModel(weights, bias)
 
 
 def score_function(model: SentenceModel, at_least: float = 0.5):
