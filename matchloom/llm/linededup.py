@@ -60,20 +60,18 @@ def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
 def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with later repeated runs of at least `run` lines deleted from text, and n_lines, n_removed."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    marked = repeated(docs, run).select(F.col("d").alias("_d"), F.col("th").alias("_th"), F.col("starts").alias("_starts"))
-    rows = docs.select(*names)
-    d, th = F.coalesce(rows["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(rows["text"])
-    joined = rows.join(marked, (d == F.col("_d")) & (th == F.col("_th")), "left")
-    lines = F.split("text", "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + run - 1))))
-    gone = F.transform(covered, lambda p: F.element_at(F.transform(F.col("_numbered"), lambda x: x["i"]), p))
-    joined = joined.withColumn("_numbered", numbered(F.col("text"))).withColumn("_gone", gone)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
-    )
-    out = [text.alias(c) if c == "text" else F.col(c) for c in names]
-    n_lines = F.coalesce(F.size("_numbered"), F.lit(0)).cast("long")
-    return joined.select(
-        *out, F.greatest(n_lines, F.lit(0)).alias("n_lines"), F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long").alias("n_removed")
+    marked = repeated(docs, run)
+    d, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(docs["text"])
+    rows = docs.select(F.struct(*names).alias("row"), d.alias("d"), th.alias("th")).join(marked, ["d", "th"], "left")
+    lines, held = F.split("row.text", "\n", -1), numbered(F.col("row.text"))
+    rows = rows.withColumn("numbers", F.transform(held, lambda x: x["i"]))
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
+    rows = rows.withColumn("gone", F.transform(covered, lambda p: F.element_at("numbers", p)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
+    less = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(less)
+    return rows.select(
+        *(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names),
+        F.coalesce(F.when(F.col("numbers").isNotNull(), F.size("numbers")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"),
     )

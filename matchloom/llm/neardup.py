@@ -110,11 +110,9 @@ def chosen(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs without all but one of each group of near copies; the columns of docs."""
-    stay = chosen(docs, least).withColumnsRenamed({"d": "_d", "th": "_th"})
-    d, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(docs["text"])
-    times = docs.groupBy(d.alias("_a"), th.alias("_b")).agg(F.count("*").alias("_n"))
-    stay = stay.join(times, (F.col("_d") == F.col("_a")) & (F.col("_th") == F.col("_b"))).select("_d", "_th", "_n")
-    rows = docs.join(stay, (d == F.col("_d")) & (th == F.col("_th")))
-    once = rows.where("_n = 1").select(*docs.columns)
-    repeated = rows.where("_n > 1").dropDuplicates(["_d", "_th"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    stay = chosen(docs, least)
+    keys = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs["text"]).alias("th")
+    stay = stay.join(docs.select(*keys).groupBy("d", "th").agg(F.count("*").alias("n")), ["d", "th"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *keys).join(stay, ["d", "th"])
+    once = rows.where("n = 1").select("row.*")
+    return once.unionByName(rows.where("n > 1").dropDuplicates(["d", "th"]).select("row.*"))
