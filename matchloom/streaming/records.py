@@ -20,6 +20,7 @@ def normalized(records: DataFrame) -> DataFrame:
 
 def activity(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Events and value sums by window and type; state is bounded by the watermark."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     out = grouped.agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
