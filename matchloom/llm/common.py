@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,23 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def smallest_by_hash(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The rows of smallest key hash, at most `rows`: a sample that any rerun repeats.
+
+    Only about that share of the hash range is sorted, so tasks send the driver little, however many they are.
+    """
+    share = min(1.0, 1.3 * (rows + 100) / max(df.count(), 1))
+    order = F.xxhash64(*keys)
+    few = df if share == 1.0 else df.where(order < F.lit(int(share * 2**64) - 2**63))
+    return few.orderBy(order, *keys).limit(rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_size(text: Column) -> Column:
     """UTF-8 bytes; null counts as none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -51,6 +69,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def slices(batches, rows: int = 1000):
+    """The same rows in smaller batches, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` as UTF-8; null has none."""
     return text.encode().split() if text else []

@@ -1,16 +1,18 @@
 """Substring dedup over words with an FM-index for each shard.
 
 A window is `window` consecutive words. Windows are routed by their minimizer, the smallest hash of a word
-k-gram inside them; equal windows share it. Runs of windows with one minimizer that occurs in two documents or
-more are candidates. Distinct candidate runs are dealt into shards by minimizer, each shard builds a
+k-gram inside them; equal windows share it. Runs of windows with one minimizer that two different texts or more
+hold are candidates. Distinct candidate runs are dealt into shards by minimizer, each shard builds a
 compressed FM-index of them, and streams the runs backward through it for matching
-statistics: the windows that also occur in a run of a smaller doc_id. Documents then lose the words such windows cover.
+statistics: the windows that also occur in a run of a smaller doc_id. Documents then lose the words such
+windows cover; a document whose whole text a smaller doc_id has loses all words that stand in a window.
 
-A minimizer with over CROWD places sends its windows one by one, dealt by their words, so no shard gathers it.
-Distinct runs carry only their smallest doc_id: every larger document loses the whole run.
+The shared minimizers reach the tasks as a bitmap over their leading bits, if there are at most MAX_SHARED (32 MB);
+beyond that by a join. A minimizer with over CROWD places sends its windows one by one, dealt by their words, so
+no shard gathers it. Distinct runs carry only their smallest doc_id: every larger document loses the whole run.
 
 Null doc_ids have no order: such rows are kept whole and are no source. Null texts have no words. Rows that share a
-doc_id do not remove each other's words. Extra columns pass through unless they clash with n_words, n_removed; an
+doc_id do not remove each other's words. Extra columns pass through unless named n_removed; an
 empty table gives an empty one.
 """
 
@@ -23,13 +25,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored, words
+from .common import discard, release, slices, stored_at, words
 from .fmindex import FmIndex, earlier_windows
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 6
 #: Windows of a run at most, places of a minimizer from which its windows go alone, words of a shard.
-RUN_WINDOWS, CROWD, SHARD_WORDS = 24, 1000, 1_500_000
+RUN_WINDOWS, CROWD, SHARD_WORDS = 24, 10_000, 800_000
+#: Shared minimizers that a bitmap may hold; its bits for each, and its smallest and largest size as powers of two.
+MAX_SHARED, BITMAP_BITS, BITMAP_POWERS = 1 << 23, 32, (16, 28)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,12 +69,13 @@ def runs_of(minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, counts
 
 
-def minimizers(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def minimizers(rows: DataFrame, window: int, gram: int) -> DataFrame:
     """mh, doc_id, th, start, windows of every run of every whole text."""
-    schema = "mh long, doc_id long, th int, start int, windows int"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["mh", "doc_id", "th", "start", "windows"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for d, th, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 minima = window_minima(words(t), window, gram)
@@ -77,55 +83,107 @@ def minimizers(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     at, n = runs_of(minima)
                     out.append((minima[at], np.full(len(at), d), np.full(len(at), th), at, n))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            names = ["mh", "doc_id", "th", "start", "windows"]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, types, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(cols, types, strict=True)], names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "mh long, doc_id long, th long, start int, windows int")
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, th, text; th tells rows of one doc_id apart."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.hash(docs["text"]).alias("th"), docs["text"])
+    """doc_id, th, text; th tells texts apart."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"])
 
 
-def candidates(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """doc_id, th, text, runs: documents with runs whose minimizer another document has too."""
-    rows = hashed(docs).where("doc_id is not null and text is not null")
-    spots = minimizers(rows, window, gram)
-    shared = spots.groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b")
-    found = spots.join(shared.select("mh", (F.col("n") > CROWD).alias("crowd")), "mh")
-    runs = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "windows", "mh", "crowd")).alias("runs"))
-    return rows.join(runs, ["doc_id", "th"])
+def bitmap(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """The leading bits of n keys (column mh) as a bitmap, and how many bits lead; at most 32 MB."""
+    power = min(max(int(n * BITMAP_BITS).bit_length(), BITMAP_POWERS[0]), BITMAP_POWERS[1])
+    place = F.shiftrightunsigned("mh", 64 - power)
+    parts = keys.groupBy(F.shiftrightunsigned(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(1 << (power - 3), dtype=np.uint8)
+    for part, bits in parts.collect():
+        out[part << 12 : (part + 1) << 12] = np.frombuffer(bits, dtype=np.uint8)
+    return out, power
+
+
+def in_bitmap(bits: np.ndarray, power: int, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) >> np.uint64(64 - power)
+    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+STRINGS = "route long, words binary, doc_id long, th long, start int, windows int"
+
+
+class StringRows:
+    """Candidate runs of documents as rows of STRINGS."""
+
+    TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    NAMES = [c.split()[0] for c in STRINGS.split(", ")]
+
+    def __init__(self, window: int):
+        self.window, self.rows = window, []
+
+    def add(self, d: int, th: int, ws: list[bytes], runs) -> None:
+        """runs: start, windows, mh, crowd."""
+        window = self.window
+        for s, n, mh, crowd in runs:
+            if crowd:
+                for i in range(s, s + n):
+                    line = b" ".join(ws[i : i + window])
+                    self.rows.append((xxhash.xxh64_intdigest(line) >> 1, line, d, th, i, 1))
+            else:
+                self.rows.append((mh, b" ".join(ws[s : s + n + window - 1]), d, th, s, n))
 
+    def take(self) -> pa.RecordBatch:
+        cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * len(self.NAMES)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, self.TYPES, strict=True)], self.NAMES)
 
-def strings(held: DataFrame, window: int, shards: int) -> DataFrame:
-    """shard, words (joined by one space), doc_id, th, start, windows of every candidate run."""
-    schema = "shard int, words binary, doc_id long, th int, start int, windows int"
+
+def strings_by_bitmap(rows: DataFrame, shared: DataFrame, n: int, window: int, gram: int) -> DataFrame:
+    """STRINGS of the candidate runs; a bitmap lets through all shared minimizers and a few others."""
+    held, power = bitmap(shared, n)
+    crowded, crowd_power = bitmap(shared.where("crowd"), shared.where("crowd").count())
+    sent = rows.sparkSession.sparkContext.broadcast((held, crowded))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                out = []
-                for d, th, t, runs in zip(*(batch.slice(at, 500).column(i).to_pylist() for i in range(4)), strict=True):
-                    ws = words(t)
-                    for r in runs:
-                        s, n = r["start"], r["windows"]
-                        if r["crowd"]:
-                            for i in range(s, s + n):
-                                line = b" ".join(ws[i : i + window])
-                                out.append((xxhash.xxh64_intdigest(line) % shards, line, d, th, i, 1))
-                        else:
-                            out.append((r["mh"] % shards, b" ".join(ws[s : s + n + window - 1]), d, th, s, n))
-                types = [pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 6
-                names = ["shard", "words", "doc_id", "th", "start", "windows"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], names)
-
-    return held.select("doc_id", "th", "text", "runs").mapInArrow(run, schema)
+        held, crowded = sent.value
+        made = StringRows(window)
+        for batch in slices(batches, 500):
+            for d, th, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ws = words(t)
+                minima = window_minima(ws, window, gram)
+                if len(minima):
+                    at, n = runs_of(minima)
+                    mh = minima[at]
+                    ok = in_bitmap(held, power, mh)
+                    if ok.any():
+                        mh = mh[ok]
+                        made.add(d, th, ws, zip(at[ok].tolist(), n[ok].tolist(), mh.tolist(), in_bitmap(crowded, crowd_power, mh).tolist(), strict=True))
+            yield made.take()
+
+    return rows.mapInArrow(run, STRINGS)
+
+
+def strings_by_join(rows: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
+    """STRINGS of the candidate runs, for any number of shared minimizers."""
+    runs = minimizers(rows, window, gram).join(shared, "mh").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "windows", "mh", "crowd")).alias("runs"))
+    held = rows.join(runs, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
+
+    def run(batches):
+        made = StringRows(window)
+        for batch in slices(batches, 500):
+            for d, th, t, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                made.add(d, th, words(t), (tuple(r.values()) for r in runs))
+            yield made.take()
+
+    return held.mapInArrow(run, STRINGS)
+
+
+#: The seed of the second key: the hash of the int 1 that goes before the line.
+SECOND = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
 
 
 def line_keys(line: Column) -> tuple[Column, Column]:
+    """A 128-bit hash of a line of words; shard() computes the same one."""
     return F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2")
 
 
@@ -133,7 +191,9 @@ def search_shards(distinct: DataFrame, window: int) -> DataFrame:
     """k1, k2, first, mask: of each distinct run its smallest doc_id and the windows that occur below it (bit i: window i)."""
 
     def shard(table: pa.Table) -> pa.Table:
-        lines = [x.split(b" ") for x in table.column("words").to_pylist()]
+        whole = table.column("words").to_pylist()
+        keys = (pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in whole], dtype=np.uint64).view(np.int64)) for seed in (42, SECOND))
+        lines = [x.split(b" ") for x in whole]
         first = table.column("first").to_numpy()
         ids: dict[bytes, int] = {}
         symbols = np.array([i for ws in lines for i in (*(ids.setdefault(w, len(ids) + 1) for w in ws), 0)], dtype=np.int64)
@@ -143,33 +203,54 @@ def search_shards(distinct: DataFrame, window: int) -> DataFrame:
         index = FmIndex(symbols, starts, ranks, int(lengths.max()) + 1)
         hits = earlier_windows(index, symbols, starts, lengths, ranks, window)
         mask = [sum(1 << int(i) for i in np.flatnonzero(h)) for h in hits]
-        return pa.table({"k1": table.column("k1"), "k2": table.column("k2"), "first": table.column("first"), "mask": pa.array(mask, pa.int64())})
-
-    k1, k2 = line_keys(F.col("words"))
-    rows = distinct.select("shard", "words", "first", k1, k2)
-    return rows.groupBy("shard").applyInArrow(shard, "k1 long, k2 long, first long, mask long")
-
-
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Two frames: the candidate documents (doc_id, th, text), and doc_id, th, starts of the windows to remove."""
-    held = stored(candidates(docs, window, gram), "substring-candidates")
-    per_run = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["windows"] + window)
-    total = held.agg(F.sum(per_run)).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    cut = strings(held, window, shards)
-    distinct = cut.groupBy("shard", "words").agg(F.min("doc_id").alias("first"))
-    judged = search_shards(distinct, window)
-    places = cut.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows")
-    met = places.join(judged, ["k1", "k2"])
+        return pa.Table.from_arrays([*keys, table.column("first"), pa.array(mask, pa.int64())], ["k1", "k2", "first", "mask"])
+
+    return distinct.groupBy("shard").applyInArrow(shard, "k1 long, k2 long, first long, mask long")
+
+
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, th of the documents whose text a smaller doc_id has, by a 128-bit hash."""
+    ids = docs.where("doc_id is not null and text is not null").select(
+        docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), F.xxhash64(F.lit(1), docs["text"]).alias("tk")
+    )
+    firsts = ids.groupBy("th", "tk").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return ids.join(firsts, ["th", "tk"]).where("doc_id > first").select("doc_id", "th")
+
+
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, th, marks of the documents that lose words: an array of start and mask (bit i: the window at start + i), start -1 for all windows."""
+    spark = docs.sparkSession
+    rows = hashed(docs).where("doc_id is not null and text is not null")
+    spots = minimizers(rows, window, gram).groupBy("mh").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count("*").alias("n"))
+    shared, shared_path = stored_at(spots.where("a < b").select("mh", (F.col("n") > CROWD).alias("crowd")), "shared-minimizers")
+    del spots
+    release(spark)
+    n = shared.count()
+    found = strings_by_bitmap(rows, shared, n, window, gram) if n <= MAX_SHARED else strings_by_join(rows, shared, window, gram)
+    cut, cut_path = stored_at(found, "candidate-runs")
+    shards = max(1, -(-(cut.agg(F.sum(F.col("windows").cast("long") + window)).first()[0] or 0) // shard_words))
+    shard = F.pmod(F.col("route"), F.lit(shards)).cast("int").alias("shard")
+    distinct = cut.groupBy(shard, "words").agg(F.min("doc_id").alias("first"))
+    judged, judged_path = stored_at(search_shards(distinct, window), "judged-runs")
+    del distinct, found
+    release(spark)
+    met = cut.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows").join(judged, ["k1", "k2"])
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("windows")) - 1
     mask = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("mask"))
     gone = met.select("doc_id", "th", "start", mask.alias("mask")).where("mask <> 0")
-    marks = gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("marks"))
-    return held.select("doc_id", "th", "text"), marks
+    copies = whole_copies(docs).select("doc_id", "th", F.lit(-1).alias("start"), F.lit(0).cast("long").alias("mask"))
+    marks, _ = stored_at(gone.unionByName(copies).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("marks")), "marks")
+    del met, gone
+    for path in (shared_path, cut_path, judged_path):
+        discard(spark, path)
+    release(spark)
+    return marks
 
 
 def covered(n: int, marks: list[dict], window: int) -> np.ndarray:
     """Which of n words the marked windows cover."""
+    if any(m["start"] < 0 for m in marks):
+        return np.full(n, n >= window)
     edge = np.zeros(n + 1, dtype=np.int64)
     for m in marks:
         bits, s = m["mask"], m["start"]
@@ -181,47 +262,47 @@ def covered(n: int, marks: list[dict], window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def changed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, th, kept (the kept words joined by one space), n_removed of the documents that lose words."""
-    held, marks = removals(docs, window, gram)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for d, th, t, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ws = words(t)
-                off = covered(len(ws), m, window)
-                out.append((d, th, b" ".join([w for w, x in zip(ws, off.tolist(), strict=True) if not x]).decode(), int(off.sum())))
-            types = [pa.int64(), pa.int32(), pa.string(), pa.int64()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], ["doc_id", "th", "kept", "n_removed"])
-
-    joined = held.join(marks, ["doc_id", "th"]).select("doc_id", "th", "text", "marks")
-    return joined.mapInArrow(run, "doc_id long, th int, kept string, n_removed long")
+def kept_words(text: str | None, marks: list[dict] | None, window: int) -> tuple[int, int, bytes]:
+    """Number of words, number removed, the kept words joined by one space."""
+    ws = words(text)
+    if not marks:
+        return len(ws), 0, b" ".join(ws)
+    off = covered(len(ws), marks, window)
+    return len(ws), int(off.sum()), b" ".join([w for w, x in zip(ws, off.tolist(), strict=True) if not x])
 
 
 def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    marks = removals(docs, window, gram)
 
-    def whole(batches):
-        for batch in batches:
-            lines = [words(t.as_py()) for t in batch.column(2)]
-            shas = [hashlib.sha256(b" ".join(ws)).hexdigest() for ws in lines]
-            n = pa.array([len(ws) for ws in lines], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(shas, pa.string())], ["doc_id", "th", "n_words", "sha"])
+    def run(batches):
+        for batch in slices(batches):
+            got = [kept_words(t.as_py(), m.as_py(), window) for t, m in zip(batch.column(1), batch.column(2), strict=True)]
+            cols = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    base = hashed(docs).mapInArrow(whole, "doc_id long, th int, n_words long, sha string")
-    less = changed(docs, window, gram).select("doc_id", "th", F.sha2("kept", 256).alias("kept_sha"), "n_removed")
-    less = less.withColumnsRenamed({"doc_id": "_d", "th": "_t"}).distinct()
-    out = base.join(less, (F.col("doc_id") == F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
+    joined = hashed(docs).join(marks, ["doc_id", "th"], "left").select("doc_id", "text", "marks")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs with the covered words taken out; a text that loses none stays as it is."""
-    names = [c for c in docs.columns if c not in ("n_removed",)]
-    less = changed(docs, window, gram).distinct().withColumnsRenamed({"doc_id": "_d", "th": "_t", "kept": "_kept", "n_removed": "_n"})
-    rows = docs.select(*names)
-    joined = rows.join(less, (rows["doc_id"].cast("long") == F.col("_d")) & (F.hash(rows["text"]) == F.col("_t")), "left")
-    text = F.coalesce(F.col("_kept"), F.col("text"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
+    """docs with the covered words taken out, and n_removed; a text that loses none stays as it is."""
+    names = [c for c in docs.columns if c != "n_removed"]
+    at = names.index("text")
+    marks = removals(docs, window, gram)
+    keys = docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th")
+    rows = docs.select(F.struct(*names).alias("row"), *keys).join(marks, ["doc_id", "th"], "left")
+    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_removed", T.LongType())])
+    columns = [F.col("row").getField(c).alias(c) for c in names]
+
+    def run(batches):
+        for batch in slices(batches):
+            texts, removed = [], []
+            for t, m in zip(batch.column(at), batch.column(len(names)), strict=True):
+                _, n, left = kept_words(t.as_py(), m.as_py(), window) if m.is_valid else (0, 0, b"")
+                texts.append(left.decode() if n else t.as_py())
+                removed.append(n)
+            made = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*made, pa.array(removed, pa.int64())], [*names, "n_removed"])
+
+    return rows.select(*columns, F.col("marks").alias("_n_removed_marks")).mapInArrow(run, schema)
