@@ -3,8 +3,9 @@
 At a Jaccard similarity of 0.8 over five-word shingles whole-text SimHashes differ in about ten of 64 bits, too many for
 a selective join. So each text gets SKETCHES fingerprints, each the SimHash of its SAMPLE smallest
 shingles under one hash order; texts of similarity s share a given sketch with probability s ** SAMPLE.
-Sketches are linked by the pigeonring join of `simhash`, texts that share one meet the smallest document among
-them, and a meeting counts only if the exact Jaccard similarity of all shingles reaches the bound. Groups are connected components.
+Sketches are linked by the pigeonring join of `simhash`, texts that share one meet the LEADERS smallest documents among
+them if their numbers of shingles allow the similarity, and a meeting counts only if the exact Jaccard similarity
+of all shingles reaches the bound. Groups are connected components.
 
 Equal word sequences are one node, so groups of copies cost one row each. Texts without words are equal to each
 other. Null doc_ids come last in the order; of repeated rows one stays. Extra columns pass through, an
@@ -16,15 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, stored
+from .common import ASCII_LOWER, slices, stored
 from .components import components
 from .simhash import fingerprint_of, near_pairs, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, SAMPLE = 8, 2
+SKETCHES, SAMPLE, LEADERS = 8, 2, 4
 LAST = (1 << 63) - 1
 ODD = [np.uint64(int(x)) for x in np.random.default_rng(11).integers(1 << 40, 1 << 63, size=64, dtype=np.int64) | 1]
 
@@ -36,34 +37,36 @@ def mixed(hashes: np.ndarray, order: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sketches(hashes: np.ndarray, count: int = SKETCHES, sample: int = SAMPLE) -> list[int]:
+def sketches(distinct: np.ndarray, count: int = SKETCHES, sample: int = SAMPLE) -> list[int]:
     """The SimHash, as a signed number, of the smallest hashes under each order; none for a text without words."""
-    if not len(hashes):
+    if not len(distinct):
         return []
-    hashes, out = np.unique(hashes), []
+    out = []
     for t in range(count):
-        x = mixed(hashes, t)
+        x = mixed(distinct, t)
         low = np.sort(np.partition(x, sample - 1)[:sample]) if len(x) > sample else x
         out.append(int(np.uint64(fingerprint_of(low)).astype(np.int64)))
     return out
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """d, th, c (hash of the lower-cased words), fps of every whole text."""
+    """d, th, c (hash of the lower-cased words), n (distinct shingles), fps of every whole text."""
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs["text"]).alias("th"), docs["text"])
 
     def run(batches):
-        for batch in batches:
-            c, fps = [], []
+        for batch in slices(batches):
+            c, n, fps = [], [], []
             for t in batch.column(2):
                 text = t.as_py()
                 line = b" ".join((text or "").encode().translate(ASCII_LOWER).split())
                 c.append(xxhash.xxh64_intdigest(line))
-                fps.append(sketches(shingle_hashes(text, SHINGLE)))
-            made = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["d", "th", "c", "fps"])
+                hashes = np.unique(shingle_hashes(text, SHINGLE))
+                n.append(len(hashes))
+                fps.append(sketches(hashes))
+            made = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["d", "th", "c", "n", "fps"])
 
-    return rows.mapInArrow(run, "d long, th long, c long, fps array<long>")
+    return rows.mapInArrow(run, "d long, th long, c long, n long, fps array<long>")
 
 
 def similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -71,7 +74,7 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         held, leader = None, None
-        for batch in batches:
+        for batch in slices(batches, 200):
             out = []
             for c, v, a, b in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if v != leader:
@@ -88,13 +91,16 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
 def chosen(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """d, th of the one document that stays of each group: the one of smallest doc_id."""
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.groupBy("c").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("fps").alias("fps"))
-    pool = stored(nodes.select("c", "rep", F.explode("fps").alias("fp")), "sketches")
+    nodes = signed.groupBy("c").agg(F.min(F.struct("d", "th")).alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps"))
+    pool = stored(nodes.select("c", "rep", "n", F.explode("fps").alias("fp")), "sketches")
     links = near_pairs(pool.select("fp").distinct(), 2)
     to = links.union(links.select("v", "u")).groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("to"))
-    named = pool.join(to, "fp", "left").select("c", "rep", F.least("fp", F.coalesce("to", "fp")).alias("fp"))
-    lead = named.groupBy("fp").agg(F.min(F.struct("rep", "c")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    meet = named.join(lead, "fp").where(F.col("c") != F.col("lead.c")).select("c", F.col("lead.c").alias("leader")).distinct()
+    named = pool.join(to, "fp", "left").select("c", "rep", "n", F.least("fp", F.coalesce("to", "fp")).alias("fp"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("rep"))
+    lead = named.withColumn("place", place).where(F.col("place") <= LEADERS)
+    lead = lead.select("fp", F.col("rep").alias("before"), F.col("c").alias("leader"), F.col("n").alias("m"))
+    close = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
+    meet = named.join(lead, "fp").where((F.col("before") < F.col("rep")) & close).select("c", "leader").distinct()
     meet = stored(meet, "meetings")
     wanted = meet.select("c").union(meet.select("leader")).distinct()
     reps = nodes.join(wanted, "c", "left_semi").select("c", "rep.*")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, stored
+from .common import ASCII_LOWER, slices, stored
 from .components import components
 
 SEED, RADIUS, SEGMENTS, BUCKET = 42, 2, 5, 128
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint's 64 bits as a signed long) of every whole text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint_of(shingle_hashes(t.as_py(), size)) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
