@@ -62,9 +62,9 @@ def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
-    return dealt.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), 16, carry=[F.col("doc_id"), crc])
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

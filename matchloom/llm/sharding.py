@@ -14,13 +14,16 @@ through `shard` unless they clash with the added ones, an empty table gives an e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_size
 
-BITS = 12
+#: Adds up to unsigned order.
+HALF = Decimal(1 << 63)
+BITS = 8
 CELLS = 1 << BITS
 #: Allowed gap between a boundary and its quantile, as a share of a shard.
 TOLERANCE = 0.002
@@ -68,6 +71,7 @@ def splitters(keyed: DataFrame, wants: list[int], slack: float) -> list[tuple[in
             run, last = s.below, s.cell << bits
             for c in by.get(s.cell, []):
                 if run + counts[c] > s.want:
+                    last = c
                     break
                 run, last = run + counts[c], c + 1
             held = counts.get(last, 0)
@@ -93,10 +97,10 @@ def cell_of(bits: int) -> list[Column]:
     """Columns that name the cell of so many leading bits: the part in hi, the part in lo."""
     if bits < 64:
         return [F.lit(0).alias("a"), unsigned_top("hi", bits).alias("b")]
-    hi = (F.col("hi").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).alias("a")
+    hi = (F.col("hi").cast("decimal(20,0)") + F.lit(HALF)).alias("a")
     lo = F.lit(0) if bits == 64 else unsigned_top("lo", bits - 64)
     if bits == 128:
-        lo = F.col("lo").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")
+        lo = F.col("lo").cast("decimal(20,0)") + F.lit(HALF)
     return [hi, lo.alias("b")]
 
 
@@ -126,14 +130,15 @@ def place(bounds: list[tuple[int, int]]) -> Column:
     return tree(0, len(bounds)).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE, part_rows: int = PART_ROWS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE, part_rows: int = PART_ROWS, carry: list[Column] | None = None) -> DataFrame:
     """docs with size, shard and slot (its place in the shard's key order, gapless from 0).
 
-    Ties of the whole key are rows equal in doc_id and text; their order among themselves is free.
+    carry: what the exchange takes along in place of the columns of docs. Ties of the whole key are rows
+    equal in doc_id and text; their order among themselves is free.
     """
-    names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    carry = carry or [docs[c] for c in docs.columns if c not in ("size", "shard", "slot")]
     hi, lo = key_columns(docs["text"], docs["doc_id"])
-    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), hi.alias("hi"), lo.alias("lo"), text_size(docs["text"]).alias("size"))
+    rows = docs.select(F.struct(*carry).alias("row"), hi.alias("hi"), lo.alias("lo"), text_size(docs["text"]).alias("size"))
     rows = rows.withColumn("size", F.col("size") + 1)
     keys = stored(rows.groupBy("hi", "lo").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-keys")
     total, n = keys.agg(F.sum("size"), F.sum("n")).first()
@@ -150,8 +155,6 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE, part_
         first[p], run = run, run + starts.get(p, 0)
     offsets = F.create_map(*(F.lit(x) for p in first for x in (p, first[p])))
     dealt = rows.withColumn("part", place(bounds)).repartition(parts, "part")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("part").orderBy("hi", "lo")
     slot = (offsets[F.col("part")] + F.row_number().over(order) - 1).cast("long")
     return dealt.select("row.*", "size", F.floor(F.col("part") / finer).cast("int").alias("shard"), slot.alias("slot"))
