@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import slices, smallest_by_hash, stored, words
 
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -66,7 +66,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of every whole text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [measure(t.as_py()) for t in batch.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *COUNTS])
@@ -143,9 +143,8 @@ def base_failed() -> F.Column:
 
 
 def sample(stats: DataFrame, rows: int) -> dict[str, np.ndarray]:
-    """The rows of smallest hash, at most `rows`: a bounded sample that any rerun repeats."""
-    order = F.xxhash64("doc_id", *COUNTS)
-    got = stats.orderBy(order, "doc_id").limit(rows).select(*COUNTS).toPandas()
+    """The counts of at most `rows` rows, those of smallest hash."""
+    got = smallest_by_hash(stats, ["doc_id", *COUNTS], rows).select(*COUNTS).toPandas()
     return {c: got[c].to_numpy() for c in COUNTS}
 
 
