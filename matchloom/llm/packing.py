@@ -49,7 +49,7 @@ class WordTokenizer:
     #: Printable ASCII, usual white space and Latin letters, which are the same in every Unicode version.
     PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
     #: Pre-tokens of the newer of two generations.
-    HELD = 400_000
+    HELD = 200_000
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)

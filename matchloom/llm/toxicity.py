@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, smallest_by_hash
+
 TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
 MIN_DOCS, MAX_FEATURES = 10, 60_000
 PREFIXES = (3, 4, 5)
@@ -83,23 +85,22 @@ def fit(texts: list[str], toxic: list[int]) -> SentenceModel:
     word, sentence, doc = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (word, sentence, doc))
     if not n or len(set(toxic)) < 2:
         return SentenceModel({}, -50.0)
-    # features, and how many documents hold each
-    names: dict[str, int] = {}
-    of_word, of_feature = array("i"), array("i")
+    spots = np.unique(doc[sentence].astype(np.int64) * len(words) + word)
+    spots = np.bincount(spots % len(words), minlength=len(words)).tolist()  # documents of each word
+    seen: dict[str, int] = {}  # at least the documents of each feature
+    for w, i in words.items():
+        for f in features(w)[spots[i] < MIN_DOCS :]:
+            seen[f] = seen.get(f, 0) + spots[i]
+    best = sorted((f for f, k in seen.items() if k >= MIN_DOCS), key=lambda f: (-seen[f], f))[:MAX_FEATURES]
+    names = {f: i for i, f in enumerate(best)}
+    of_word, of_feature, size = array("i"), array("i"), len(names)
     for w, i in words.items():
         for f in features(w):
-            of_word.append(i)
-            of_feature.append(names.setdefault(f, len(names)))
-    of_word, of_feature = np.frombuffer(of_word, dtype=np.int32), np.frombuffer(of_feature, dtype=np.int32)
-    spots = np.unique(doc[sentence].astype(np.int64) * len(words) + word)
-    spots = np.bincount(spots % len(words), minlength=len(words))  # documents of each word
-    seen = np.bincount(of_feature, spots[of_word], len(names))  # at least the documents of each feature
-    order = np.lexsort((np.arange(len(names)), -seen))[:MAX_FEATURES]
-    index = np.full(len(names), -1)
-    index[order[seen[order] >= MIN_DOCS]] = np.arange(int((seen[order] >= MIN_DOCS).sum()))
-    known = index[of_feature] >= 0
-    of_word, of_feature = of_word[known], index[of_feature[known]]
-    size = int(index.max(initial=-1)) + 1
+            if (j := names.get(f)) is not None:
+                of_word.append(i)
+                of_feature.append(j)
+    of_word, of_feature = (np.frombuffer(x, dtype=np.int32) if len(x) else np.empty(0, np.int32) for x in (of_word, of_feature))
+    del seen, spots
     y = np.array(toxic, dtype=float)
     v, bias = np.zeros(size), -6.0
     m1, m2 = np.zeros(size + 1), np.zeros(size + 1)
@@ -116,7 +117,7 @@ def fit(texts: list[str], toxic: list[int]) -> SentenceModel:
         m2 = 0.999 * m2 + 0.001 * grad**2
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         v, bias = np.maximum(0, v - move[:-1]), bias - move[-1]
-    return SentenceModel({f: float(v[i]) for f, j in names.items() if (i := index[j]) >= 0 and abs(v[i]) > 0.02}, float(bias))
+    return SentenceModel({f: float(v[i]) for f, i in names.items() if v[i] > 0.02}, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> SentenceModel:
@@ -126,8 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_ch
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = F.xxhash64("doc_id")
-    chosen = known.where("toxic = 1").orderBy(order).limit(max_docs).unionByName(known.where("toxic = 0").orderBy(order).limit(max_docs))
+    chosen = smallest_by_hash(known.where("toxic = 1"), ["doc_id"], max_docs).unionByName(smallest_by_hash(known.where("toxic = 0"), ["doc_id"], max_docs))
     small = F.broadcast(chosen)  # 2 * max_docs rows of two numbers at most
     rows = docs.where(F.length("text") <= max_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small, "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: SentenceModel, at_least: float = 0.5) -> DataF
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             got = [judge(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
@@ -192,7 +192,7 @@ def clean(docs: DataFrame, model: SentenceModel, below: float = 0.5) -> DataFram
     weights = score_function(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = [weights(t.as_py())[0] < below for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
