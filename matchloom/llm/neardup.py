@@ -25,7 +25,7 @@ from .components import components
 from .simhash import fingerprint_of, near_pairs, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, SAMPLE, LEADERS = 8, 2, 4
+SKETCHES, SAMPLE, LEADERS = 8, 3, 4
 LAST = (1 << 63) - 1
 ODD = [np.uint64(int(x)) for x in np.random.default_rng(11).integers(1 << 40, 1 << 63, size=64, dtype=np.int64) | 1]
 
