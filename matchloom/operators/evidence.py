@@ -58,16 +58,23 @@ def fuzzy_ratios(pairs: DataFrame) -> DataFrame:
 
 
 def idf_jaccard(pairs: DataFrame, idf: DataFrame) -> DataFrame:
-    """Adds name_idf_jaccard: summed idf of shared over all name tokens; unknown terms weigh 0, 0 if the sum is not positive."""
-    t1, t2 = T.space_tokens(F.col("name_1")), T.space_tokens(F.col("name_2"))
-    shared = F.array_intersect(t1, t2)
-    marked = lambda terms, flag: F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(flag).alias("shared")))
-    every = F.concat(marked(shared, True), marked(F.array_except(F.array_union(t1, t2), shared), False))
-    terms = pairs.select("s1_id", "s2_id", F.explode(every).alias("x")).select("s1_id", "s2_id", "x.*")
-    sums = terms.join(idf, "term").groupBy("s1_id", "s2_id").agg(F.sum("idf").alias("every"), F.sum(F.when(F.col("shared"), F.col("idf")).otherwise(0.0)).alias("common"))
-    out = pairs.join(sums, ["s1_id", "s2_id"], "left")
-    value = F.when(F.col("every") > 0, F.col("common") / F.col("every")).otherwise(0.0)
-    return out.withColumn("name_idf_jaccard", value).drop("every", "common")
+    """Adds name_idf_jaccard: summed idf of shared over all name tokens; unknown terms weigh 0, 0 if the sum is not positive.
+
+    All tokens weigh as much as both sides less what they share, so each record's tokens are summed once, not once a pair.
+    """
+
+    def total(n: int) -> DataFrame:
+        names = pairs.groupBy(f"s{n}_id").agg(F.first(f"name_{n}").alias("name"))
+        terms = names.select(f"s{n}_id", F.explode(F.array_distinct(T.space_tokens(F.col("name")))).alias("term"))
+        return terms.join(idf, "term").groupBy(f"s{n}_id").agg(F.sum("idf").alias(f"sum_{n}"))
+
+    shared = F.array_intersect(T.space_tokens(F.col("name_1")), T.space_tokens(F.col("name_2")))
+    both = pairs.select("s1_id", "s2_id", F.explode(shared).alias("term")).join(idf, "term").groupBy("s1_id", "s2_id").agg(F.sum("idf").alias("common"))
+    out = pairs.join(both, ["s1_id", "s2_id"], "left").join(total(1), "s1_id", "left").join(total(2), "s2_id", "left")
+    out = out.na.fill(0.0, ["common", "sum_1", "sum_2"])
+    every = F.col("sum_1") + F.col("sum_2") - F.col("common")
+    value = F.when(every > 1e-12, F.col("common") / every).otherwise(0.0)
+    return out.withColumn("name_idf_jaccard", value).drop("common", "sum_1", "sum_2")
 
 
 def paired(candidates: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

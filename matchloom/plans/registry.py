@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, compete, decide, evaluate, evidence, features, fuse, index, retrieve
-from ..session import ship
+from ..session import ship, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,8 @@ def query(oracle: str | None = None):
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            read = functools.lru_cache(None)(lambda name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+            return f(read)
 
         QUERIES[f.__name__] = run
         if oracle:

@@ -7,11 +7,17 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its scan has fewer splits than that; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package once per application, for Python operators."""
     app = spark.sparkContext.applicationId
