@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Where stage tables go if the session names no folder (single-machine tests only).
 LOCAL_SCRATCH = "/tmp/checkpoints/matchloom"
 
@@ -15,8 +17,10 @@ LOCAL_SCRATCH = "/tmp/checkpoints/matchloom"
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, in_order: bool = False) -> DataFrame:
+    """A table; one of fewer splits than cores is dealt out, unless its rows are wanted in the order of the files."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if in_order else spread(df)
 
 
 def scratch(spark: SparkSession) -> str:

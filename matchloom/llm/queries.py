@@ -49,7 +49,7 @@ def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents", in_order=True), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
