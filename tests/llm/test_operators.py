@@ -265,3 +265,20 @@ def test_near_copies_of_odd_rows(odd, none):
     assert sum(d == 14 and t == "twice the same" for d, t in got) == 1
     assert (1, got[0][1]) or True
     assert sum(not brute.words(t) for _, t in got) == 1 and neardup.keep_one(none).count() == 0
+
+
+def test_near_copies_within_a_large_template_group(spark):
+    """2,000 texts of one template, 0.67 similar to each other, and near copies of the last 200 of them."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 8))
+    template = [word() for _ in range(84)]
+    own = [[word() for _ in range(20)] for _ in range(2000)]
+    texts = {i: " ".join(template + x) for i, x in enumerate(own)}
+    pairs = [(i, 10_000 + i) for i in range(1800, 2000)]
+    texts |= {b: " ".join(template + own[a][:10] + [word() for _ in range(10)]) for a, b in pairs}
+    assert brute.jaccard(texts[0], texts[1]) < 0.7 and all(brute.jaccard(texts[a], texts[b]) >= 0.8 for a, b in pairs)
+    signs = {d: set(neardup.sketches(np.unique(simhash.shingle_hashes(t, 5)))) for d, t in texts.items()}
+    kept = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("doc_id").collect()}
+    gone = set(texts) - kept
+    assert gone <= {b for _, b in pairs}
+    assert not [(a, b) for a, b in pairs if b in kept and signs[a] & signs[b]]
