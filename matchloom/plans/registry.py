@@ -622,6 +622,11 @@ def _held(t) -> DataFrame:
     return t("documents").where("lang = 'en'").select(F.col("doc_id").alias("s2_id"))
 
 
+def _searched(t) -> DataFrame:
+    """All documents, which retrieval searches."""
+    return t("documents").select(F.col("doc_id").alias("s2_id"))
+
+
 @query(f"WITH {_TFIDF}, {_TRUTH}, {_HELD} SELECT {_MICRO} FROM truth t SEMI JOIN corpus USING (s2_id) LEFT JOIN tfidf f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id")
 def recall_conditional(t) -> DataFrame:
     return evaluate.recall_conditional(_tfidf_found(t), _truth(t), _held(t))
@@ -669,7 +674,7 @@ def failure_histogram(t) -> DataFrame:
     """Why passages' true documents were missed: counts by category."""
     texts = t("documents").select(F.col("doc_id").alias("s2_id"), F.col("text").alias("n2"), F.col("source").alias("a2"))
     asked = t("benchmark").select(F.col("item_id").alias("s1_id"), F.col("text").alias("n1"))
-    rows = evaluate.missed_pairs(_truth(t), _tfidf_found(t), _held(t), 5).join(texts, "s2_id").join(asked, "s1_id")
+    rows = evaluate.missed_pairs(_truth(t), _tfidf_found(t), _searched(t), 5).join(texts, "s2_id").join(asked, "s1_id")
     category = evaluate.failure_category(F.lower("n1"), F.lower("n2"), F.lit(""), F.col("a2"))
     return rows.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
 
@@ -678,7 +683,7 @@ def failure_histogram(t) -> DataFrame:
 def failure_examples(t) -> DataFrame:
     names = t("documents").select(F.col("doc_id").alias("s2_id"), F.md5("text").alias("name"))
     found = _tfidf_found(t)
-    return evaluate.failure_examples(evaluate.missed_pairs(_truth(t), found, _held(t), 5), found, names)
+    return evaluate.failure_examples(evaluate.missed_pairs(_truth(t), found, _searched(t), 5), found, names)
 
 
 @query(f"""WITH {_TFIDF}, {_BM25B}, {_TRUTH}, r AS (
