@@ -19,6 +19,8 @@ from ..session import ship, spread
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 K = 20
+#: Short passages are sought in blocks of about so many, in so many groups of documents.
+SHORT_BLOCK, SALTS = 1000, 64
 
 
 def query(oracle: str | None = None):
@@ -125,17 +127,26 @@ def _bm25b_found(t) -> DataFrame:
 def _truth(t, gram: int = 4) -> DataFrame:
     """s1_id, s2_id: documents that contain a whole passage; passages meet documents on a word 4-gram, then contains() decides.
 
-    The gram skips the passage's first word, which may be glued to what stands before it. Shorter passages meet on no gram and are found by their first whole word.
+    The gram skips the passage's first word, which may be glued to what stands before it. Passages too short
+    for that are few, and each is sought in every text.
     """
     toks = lambda c: T.tokens(F.col(c), 1)
     join = lambda w, i, n: F.array_join(F.slice(w, i, n), " ")
     b = t("benchmark").where(F.col("text") != "").select(F.col("item_id").alias("s1_id"), F.col("text").alias("passage"), toks("text").alias("w"))
+    short = b.where(F.size("w") <= gram + 1).select("s1_id", "passage")
     b = b.where(F.size("w") > gram + 1).withColumn("gram", join(F.col("w"), 2, gram))
     d = t("documents").select(F.col("doc_id").alias("s2_id"), toks("text").alias("w")).where(F.size("w") >= gram)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - gram + 1), lambda i: join(F.col("w"), i, gram))
     met = d.select("s2_id", F.explode(F.array_distinct(grams)).alias("gram")).join(b.select("s1_id", "gram"), "gram").select("s1_id", "s2_id").distinct()
     texts = t("documents").select(F.col("doc_id").alias("s2_id"), "text")
-    return met.join(texts, "s2_id").join(b.select("s1_id", "passage"), "s1_id").where(F.contains("text", "passage")).select("s1_id", "s2_id")
+    found = met.join(texts, "s2_id").join(b.select("s1_id", "passage"), "s1_id").where(F.contains("text", "passage")).select("s1_id", "s2_id")
+    n = -(-short.count() // SHORT_BLOCK)
+    if not n:
+        return found
+    # every text meets every block of short passages, dealt out by document
+    salted = short.withColumn("block", F.pmod(F.xxhash64("s1_id"), F.lit(n)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("s2_id"), F.lit(SALTS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return found.union(texts.join(salted, ["block", "salt"]).where(F.contains("text", "passage")).select("s1_id", "s2_id"))
 
 
 def _truth_table(t) -> DataFrame:
