@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
 
-#: Where stage tables go if the session names no folder (single-machine tests only).
-LOCAL_SCRATCH = "/tmp/checkpoints/matchloom"
+#: Size of a key filter as a power of two, in bits: smallest, largest; and bits for each key until the largest is reached.
+FILTER_POWERS, FILTER_BITS = (15, 28), 16
+#: A key is hot if it holds more than one in so many of all rows; so there are no more hot keys than this.
+HOT_SHARE = 10_000
 
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -24,8 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, in_order: bool = False) -
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that the session names."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The folder shared by driver and executors that the session names; a temporary one only where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/checkpoints/matchloom"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -34,17 +44,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The table and its folder, which goes at the end of the driver unless it is discarded before."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p, fs = folder(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that stored_at wrote and no plan reads any more."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = folder(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
 
 
 def smallest_by_hash(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -58,6 +76,43 @@ def smallest_by_hash(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return few.orderBy(order, *keys).limit(rows)
 
 
+@dataclass
+class KeyFilter:
+    """A bitmap over the leading bits of hashed keys, at most 32 MB whatever their number; it lets through all keys and a few others."""
+
+    bits: DataFrame
+    power: int
+
+    def keep(self, rows: DataFrame, key: Column, how: str = "left_semi") -> DataFrame:
+        """The rows whose key (a hash, long) may be held; left_anti: those whose key is not."""
+        place = F.shiftrightunsigned(key, 64 - self.power)
+        byte = F.conv(F.hex(self.bits["bits"].substr((F.shiftright(place.bitwiseAND(F.lit(32767)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.pmod(place, F.lit(8)).cast("int")
+        held = F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1
+        return rows.join(F.broadcast(self.bits), (F.shiftrightunsigned(place, 15) == self.bits["part"]) & held, how)
+
+
+def key_filter(keys: DataFrame, column: str) -> KeyFilter:
+    """A filter of the hashes in a column."""
+    low, high = FILTER_POWERS
+    power = min(max((keys.count() * FILTER_BITS).bit_length(), low), high)
+    place = F.shiftrightunsigned(column, 64 - power)
+    parts = keys.groupBy(F.shiftrightunsigned(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    return KeyFilter(parts, power)
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """rows joined with a table of one row a key, whose column n counts the rows of the key.
+
+    Keys with over one in HOT_SHARE of all rows, HOT_SHARE keys at most, are joined by broadcast, so no task gathers the rows of one. rows and table are read more than
+    once: both should be stored.
+    """
+    bound = -(-rows.count() // HOT_SHARE)
+    hot = F.broadcast(table.where(F.col(n) > bound))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) <= bound), keys)
+    return rows.join(hot, keys).union(rest)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -1,16 +1,20 @@
 """Line dedup by winnowing, with DataFrame operations only.
 
-Lines are split at line feeds; lines of white space alone are neither compared nor deleted. In every
-window of RUN consecutive lines the smallest line hash is selected as a fingerprint, so any two equal
-runs of RUN lines select the same one. Positions whose fingerprint occurs more than once are
-extended both ways to the windows that selected them; a window whose lines also stand at an
-earlier place (smaller doc_id, or earlier in the document) marks its lines. Overlapping
-windows make up runs of any length, and the marked lines are deleted; the first place of a run stays.
-
-Windows are grouped by a 128-bit hash of their lines, never paired, so groups of any size are shuffled as sums.
-Null texts stay null, null doc_ids come last in the order, rows that agree in doc_id and
-text are one place and treated alike. Extra columns pass through unless they clash with
-n_lines or n_removed, an empty table gives an empty one.
+Lines are split at line feeds; lines of white space alone are neither compared nor deleted. A window is
+RUN consecutive lines, or fewer if they hold WORDS words or more. Of every window the smallest line hash is
+selected as its fingerprint, so any two equal windows select the same one, at the same place in them.
+
+Positions of selected lines are joined with the fingerprints that occur at two places or more, and carry the hashes of the
+lines around them. Each is extended both ways, line by line, to the windows that selected it; a window whose lines, told apart
+by 128-bit hashes, also stand at an earlier place (smaller doc_id, or earlier in the document) marks
+its lines. Overlapping windows make up runs of any length. Marked lines are deleted; the first place of a run stays.
+
+The repeated fingerprints meet the positions as a bitmap of at most 32 MB, which lets through a few others too, so no task gathers a
+common line. Windows with over one in HOT_SHARE of all places are joined by broadcast: there are at most so many of them. Documents
+that lose nothing are not shuffled.
+
+Null texts stay null, null doc_ids come after all others, rows that agree in doc_id and
+text are one place and treated alike. Extra columns pass through, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,60 +22,120 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN = 3
-LAST = (1 << 63) - 1
+from .common import hot_join, key_filter, stored
+
+RUN, WORDS = 3, 13
+#: Columns that tell documents apart and put them in order: null doc_ids come last.
+KEYS = ["none", "d", "th"]
+_IN, _OUT = r"[^ \t\r\x0B\f]", r"[ \t\r\x0B\f]"
+
+
+def keys_of(docs: DataFrame) -> list[Column]:
+    return [docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("d"), F.xxhash64(docs["text"]).alias("th")]
 
 
 def numbered(text: Column) -> Column:
     """Structs (raw line number, line) of the lines that hold more than white space."""
     lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("line")))
-    return F.filter(lines, lambda x: x["line"].rlike("[^ \\t\\r\\x0B\\f]"))
-
-
-def windows(run: int) -> Column:
-    """For each window of `run` lines: its fingerprint and a struct of start and 128-bit hash."""
-
-    def one(i: Column) -> Column:
-        part = F.slice("lines", i, run)
-        texts = F.transform(part, lambda x: x["line"])
-        least = F.array_min(F.transform(part, lambda x: F.xxhash64(x["line"])))
-        at = F.struct(i.alias("start"), F.xxhash64(texts).alias("k1"), F.xxhash64(F.lit(run), texts).alias("k2"))
-        return F.struct(least.alias("fp"), at.alias("at"))
-
-    return F.when(F.size("lines") >= run, F.transform(F.sequence(F.lit(1), F.size("lines") - run + 1), one))
-
-
-def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """d, th, starts: per document the windows (1-based among its numbered lines) that also stand earlier."""
-    rows = docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs["text"]).alias("th"), numbered(docs["text"]).alias("lines")
-    ).where(F.size("lines") >= run)
-    found = rows.select("d", "th", F.explode(windows(run)).alias("x")).select("d", "th", "x.fp", "x.at")
-    # one row for each fingerprint of a document, with the windows that selected it
-    prints = found.groupBy("d", "th", "fp").agg(F.collect_set("at").alias("extended"))
-    alone = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("b"))
-    shared = alone.where("n > 1").select("fp")
-    reach = prints.join(shared, "fp", "left_semi").select("d", "th", F.explode("extended").alias("at")).select("d", "th", "at.*")
-    first = reach.groupBy("k1", "k2").agg(F.min(F.struct("d", "th", "start")).alias("first"))
-    later = reach.join(first, ["k1", "k2"]).where(F.struct("d", "th", "start") > F.col("first"))
-    return later.groupBy("d", "th").agg(F.collect_set("start").alias("starts"))
-
-
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with later repeated runs of at least `run` lines deleted from text, and n_lines, n_removed."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    marked = repeated(docs, run)
-    d, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(docs["text"])
-    rows = docs.select(F.struct(*names).alias("row"), d.alias("d"), th.alias("th")).join(marked, ["d", "th"], "left")
+    return F.filter(lines, lambda x: x["line"].rlike(_IN))
+
+
+def hashed_lines(text: Column, words: int) -> Column:
+    """Structs (a, b, n) of the numbered lines: two hashes and the number of words, `words` at most."""
+
+    def one(x: Column) -> Column:
+        line = x["line"]
+        full = line.rlike(f"^{_OUT}*+(?:{_IN}++{_OUT}++){{{words - 1}}}{_IN}") if words > 1 else F.lit(True)
+        n = F.when(full, words).otherwise(F.regexp_count(line, F.lit(f"{_IN}+")))
+        return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), n.alias("n"))
+
+    return F.transform(numbered(text), one)
+
+
+def total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda s, x: s + x["n"])
+
+
+def selected(run: int, words: int) -> Column:
+    """Places (from 1) of the lines that some window selects: its smallest hash, the first on ties."""
+
+    def of_start(start: Column) -> Column:
+        found = []
+        for size in range(1, run + 1):
+            part = F.slice("lines", start, size)
+            hashes = F.transform(part, lambda x: x["a"])
+            holds = F.size(part) == size
+            holds = holds if size == run else holds & (total(part) >= words)
+            found.append(F.when(holds, start + F.array_position(hashes, F.array_min(hashes)).cast("int") - 1))
+        return F.array(*found)
+
+    starts = F.sequence(F.lit(1), F.size("lines"))
+    places = F.array_distinct(F.flatten(F.transform(starts, of_start)))
+    return F.when(F.size("lines") > 0, F.filter(places, lambda p: p.isNotNull()))
+
+
+def positions(docs: DataFrame, run: int, words: int) -> DataFrame:
+    """KEYS, p, fp, at, around: selected lines; around holds the lines up to run - 1 away, the selected one at place `at` of it."""
+    rows = docs.select(*keys_of(docs), hashed_lines(docs["text"], words).alias("lines"))
+
+    def one(p: Column) -> Column:
+        first = F.greatest(p - (run - 1), F.lit(1))
+        around = F.slice("lines", first, p - first + run)
+        return F.struct(p.alias("p"), F.element_at("lines", p)["a"].alias("fp"), (p - first + 1).alias("at"), around.alias("around"))
+
+    return rows.select(*KEYS, F.explode(F.transform(selected(run, words), one)).alias("x")).select(*KEYS, "x.*")
+
+
+def extended(run: int, words: int) -> Column:
+    """Of a position the windows around it that selected it: structs (start, size, k1, k2)."""
+    found = []
+    for size in range(1, run + 1):
+        for before in range(size):
+            first = F.col("at") - before
+            part = F.slice("around", F.greatest(first, F.lit(1)), size)
+            hashes = F.transform(part, lambda x: x["a"])
+            holds = (first >= 1) & (F.size(part) == size) & (F.array_position(hashes, F.array_min(hashes)) == before + 1)
+            holds = holds if size == run else holds & (total(part) >= words)
+            k1, k2 = F.xxhash64(F.lit(size), hashes), F.xxhash64(F.lit(-size), F.transform(part, lambda x: x["b"]))
+            found.append(F.when(holds, F.struct((F.col("p") - before).alias("start"), F.lit(size).alias("size"), k1.alias("k1"), k2.alias("k2"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def repeated(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """KEYS, windows: per document the windows (start from 1 among its numbered lines, size) that also stand earlier."""
+    prints = positions(docs, run, words).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    shared = key_filter(stored(prints.select("fp"), "line-prints"), "fp")
+    joined = shared.keep(positions(docs, run, words), F.col("fp"))
+    reach = stored(joined.select(*KEYS, F.explode(extended(run, words)).alias("x")).select(*KEYS, "x.*"), "line-windows")
+    place = F.struct(*KEYS, "start")
+    firsts = reach.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("first < last")
+    firsts = stored(firsts.select("k1", "k2", "first", "n"), "line-firsts")
+    met = hot_join(reach, firsts, ["k1", "k2"])
+    return met.where(place > F.col("first")).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "size")).alias("windows"))
+
+
+def cut(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """row (a struct of all columns of docs), text without later repeated runs, n_lines, n_removed."""
+    marked = stored(repeated(docs, run, words), "line-marks")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *keys_of(docs))
+    maybe = key_filter(marked.select(F.xxhash64(*KEYS).alias("key")), "key")
+    whole = maybe.keep(rows, F.xxhash64(*KEYS), "left_anti").withColumn("windows", F.lit(None).cast(marked.schema["windows"].dataType))
+    rows = whole.union(maybe.keep(rows, F.xxhash64(*KEYS)).join(marked, KEYS, "left").select(*whole.columns))
     lines, held = F.split("row.text", "\n", -1), numbered(F.col("row.text"))
     rows = rows.withColumn("numbers", F.transform(held, lambda x: x["i"]))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.sequence(w["start"], w["start"] + w["size"] - 1))))
     rows = rows.withColumn("gone", F.transform(covered, lambda p: F.element_at("numbers", p)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     less = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(less)
     return rows.select(
-        *(text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in names),
+        "row",
+        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(less).alias("text"),
         F.coalesce(F.when(F.col("numbers").isNotNull(), F.size("numbers")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """docs with later repeated runs of lines deleted from text; all columns of docs."""
+    less = cut(docs, run, words)
+    return less.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

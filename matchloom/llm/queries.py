@@ -43,7 +43,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    vectors = topk.vectors_of(table(spark, sf_dir, "embeddings"))
     found = topk.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -53,8 +53,8 @@ def op6_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = linededup.dedup(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    kept = linededup.cut(table(spark, sf_dir, "documents"))
+    return kept.select("row.doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op8_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +95,11 @@ ORACLES = {
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        a AS (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
         s AS (
             SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: CAST(p[1] AS HUGEINT) * p[2])) AS BIGINT) AS score
+            FROM a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op7_line_winnowing": r"""
@@ -106,13 +107,16 @@ ORACLES = {
             SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
             FROM documents),
         n AS (
-            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, len(regexp_extract_all(line, '[^ \t\r\x0B\x0C]+')) AS words
             FROM l WHERE regexp_matches(line, '[^ \t\r\x0B\x0C]')),
         w AS (
-            SELECT a.doc_id, a.p, a.line AS l1, b.line AS l2, c.line AS l3,
-                   row_number() OVER (PARTITION BY a.line, b.line, c.line ORDER BY a.doc_id, a.p) AS seen
+            SELECT doc_id, p, 1 AS size, line AS run FROM n WHERE words >= 13
+            UNION ALL SELECT a.doc_id, a.p, 2, a.line || chr(10) || b.line
+            FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.words + b.words >= 13
+            UNION ALL SELECT a.doc_id, a.p, 3, a.line || chr(10) || b.line || chr(10) || c.line
             FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.p = a.p + 1 JOIN n c ON a.doc_id = c.doc_id AND c.p = a.p + 2),
-        g AS (SELECT DISTINCT doc_id, p + o AS p FROM w, (SELECT unnest([0, 1, 2]) AS o) WHERE seen > 1),
+        r AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY run, size ORDER BY doc_id, p) AS seen FROM w),
+        g AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (SELECT unnest([0, 1, 2]) AS o) WHERE seen > 1 AND o < size),
         k AS (
             SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS kept
             FROM l LEFT JOIN n USING (doc_id, i) LEFT JOIN g ON g.doc_id = n.doc_id AND g.p = n.p

@@ -7,16 +7,20 @@ are then selected from the most significant slice of the sum downward, and the r
 bounds reach the k-th are resolved with exact integer products.
 
 Queries and rows meet block by block (every query block with every row block), so a task
-holds two bounded blocks, whatever the table's size.
+holds two bounded blocks, whatever the table's size. Rows whose numbers are too great for sums in 64 bits are kept beside
+the slices and scored with unbounded integers, as are all rows for such a query.
 
-Vectors that are null, empty, or hold a null, non-finite or huge (2**26 and over after scaling)
-component take no part. A query meets only vectors of its own length. Equal scores go to the smaller
-vec_id, rows that repeat a vec_id each take a rank; rows of the query's own vec_id are no candidates. Other
+Vectors that are null, empty, or hold a null or non-finite component take no part; all others do, however great.
+A query meets only vectors of its own length. Equal scores go to the smaller vec_id, rows that repeat a vec_id each
+take a rank; rows of the query's own vec_id are no candidates. Of queries that share a vec_id the one of smallest vector asks.
+Scores beyond a long are ranked exactly and returned as the nearest long. Other
 columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,10 +29,15 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SCALE = 1024
-ROW_BLOCK, QUERY_BLOCK = 65_536, 1024
+#: Rows and queries of a block; rows of a block at least, when there are cores to spare.
+ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 65_536, 8192, 4096
 #: Low bits of each attribute that are bounded, not added.
 LOW_BITS = 3
-SCHEMA = "query_id long, vec_id long, score long"
+#: beyond: a score past a long, shifted to be positive, as bytes that sort like numbers; else null.
+SCHEMA = "query_id long, vec_id long, score long, beyond binary"
+LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
+#: Bytes of `beyond`: products of two doubles' integers, scaled, and any number of them summed.
+BEYOND_BYTES = 320
 
 
 class BitSlicedIndex:
@@ -38,11 +47,10 @@ class BitSlicedIndex:
         self.rows = rows
         self.n, self.dims = rows.shape
         self.base = rows.min(0)
-        span = int((rows - self.base).max(initial=0))
-        self.bits = max(span.bit_length(), 1)
-        self.low = min(low_bits, self.bits - 1)
+        spans = (rows - self.base).max(0)
+        self.low = min(low_bits, max(int(spans.max(initial=0)).bit_length(), 1) - 1)
         high = (rows - self.base) >> self.low
-        self.slices = [[self.pack((high[:, d] >> b) & 1) for b in range(self.bits - self.low)] for d in range(self.dims)]
+        self.slices = [[self.pack((high[:, d] >> b) & 1) for b in range(max((int(spans[d]) >> self.low).bit_length(), 1))] for d in range(self.dims)]
         self.all = self.pack(np.ones(self.n, dtype=np.uint8))
 
     @staticmethod
@@ -142,38 +150,79 @@ class BitSlicedIndex:
         return rows, scores
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v: floor(scale * component) of every vector that takes part."""
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fits = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) * scale < 2.0**26, F.lit(False)))
-    return vectors.where(fits & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+def vectors_of(rows: DataFrame) -> DataFrame:
+    """vec_id, v of every vector that takes part; v as it is stored."""
+    finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x.cast("double")))
+    return rows.where(finite & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
+
+
+class Quantised:
+    """A block of vectors as integers floor(scale * x): an array where sums fit 64 bits, lists of unbounded integers elsewhere."""
+
+    def __init__(self, table: pa.Table, scale: int):
+        grid = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+        ids = table.column("vec_id").to_numpy()
+        self.limit = float(1 << (62 - grid.shape[1].bit_length()) // 2)
+        fits = (np.abs(grid) * scale < self.limit - 1).all(1)
+        self.ids, self.rows = ids[fits], np.floor(grid[fits] * scale).astype(np.int64)
+        self.wide_ids = ids[~fits]
+        whole = lambda x: int(x) * scale if abs(x) >= 2.0**52 else math.floor(x * scale)
+        self.wide = [[whole(x) for x in row] for row in grid[~fits].tolist()]
+
 
+def long_columns(scores: list[int]) -> tuple[np.ndarray, list[bytes | None]]:
+    """Scores held within a long, and for those at or past its ends the bytes that sort them."""
+    inside = np.array([min(max(s, LONG_MIN), LONG_MAX) for s in scores], dtype=np.int64)
+    half = 1 << (8 * BEYOND_BYTES - 1)
+    return inside, [None if LONG_MIN < s < LONG_MAX else (s + half).to_bytes(BEYOND_BYTES, "big") for s in scores]
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score of the k best rows of `vectors` for every row of `queries`.
 
-    Both frames have vec_id and v (array of long).
+def wide_best(query: list[int], own: int, k: int, parts: list[tuple[np.ndarray, list]]) -> tuple[list[int], list[int]]:
+    """vec_ids and exact scores of the k best among parts (ids, rows of unbounded integers)."""
+    scored = [(-sum(a * b for a, b in zip(query, row, strict=True)), int(i)) for ids, rows in parts for i, row in zip(ids, rows, strict=True) if i != own]
+    best = sorted(scored)[:k]
+    return [i for _, i in best], [-s for s, _ in best]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, scale: int = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best rows of `vectors` for every vec_id of `queries`.
+
+    Both frames have vec_id and v (array of float or double), as vectors_of gives them.
     """
-    rows, asked = stored(vectors, "slices-rows"), stored(queries, "slices-queries")
-    nr, nq = (max(1, -(-d.count() // b)) for d, b in ((rows, row_block), (asked, query_block)))
+    spark = vectors.sparkSession
+    rows = stored(vectors.select("vec_id", "v"), "slices-rows")
+    asked = stored(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "slices-queries")
+    n = rows.count()
+    nr = max(1, -(-n // row_block), min(spark.sparkContext.defaultParallelism, n // min(LEAST_BLOCK, row_block)))
+    nq = max(1, -(-asked.count() // query_block))
     part = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = rows.withColumn("rb", part(nr)).withColumn("dim", F.size("v")).withColumn("qb", spread(nq))
     b = asked.withColumn("qb", part(nq)).withColumn("dim", F.size("v")).withColumn("rb", spread(nr))
 
     def block(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        q_ids, r_ids, scores, beyond = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+
+        def give(own: int, ids, inside: np.ndarray, past: list[bytes | None]) -> None:
+            q_ids.append(np.full(len(ids), own, np.int64)), r_ids.append(np.array(ids, np.int64)), scores.append(inside), beyond.extend(past)
+
         if left.num_rows and right.num_rows:
-            grid = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            ids = left.column("vec_id").to_numpy()
-            index = BitSlicedIndex(grid(left))
-            for own, q in zip(right.column("vec_id").to_numpy(), grid(right), strict=True):
-                found, scores = index.search(q, k, ids, own)
-                out.append((np.full(len(found), own), ids[found], scores))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+            held, asking = Quantised(left, scale), Quantised(right, scale)
+            index = BitSlicedIndex(held.rows) if len(held.rows) else None
+            for own, q in zip(asking.ids.tolist(), asking.rows, strict=True):
+                if index is not None:
+                    found, exact = index.search(q, k, held.ids, own)
+                    give(own, held.ids[found], exact, [None] * len(found))
+                if held.wide:
+                    ids, exact = wide_best(q.tolist(), own, k, [(held.wide_ids, held.wide)])
+                    give(own, ids, *long_columns(exact))
+            for own, q in zip(asking.wide_ids.tolist(), asking.wide, strict=True):
+                ids, exact = wide_best(q, own, k, [(held.ids, held.rows.tolist()), (held.wide_ids, held.wide)])
+                give(own, ids, *long_columns(exact))
+        columns = [pa.array(np.concatenate(c), pa.int64()) for c in (q_ids, r_ids, scores)]
+        return pa.table([*columns, pa.array(beyond, pa.binary())], names=["query_id", "vec_id", "score", "beyond"])
 
     keys = ("rb", "qb", "dim")
     found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(block, SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
