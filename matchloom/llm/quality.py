@@ -1,9 +1,11 @@
 """Quality rules with an isolation forest over rule statistics.
 
 Every text is measured once; the statistics (a few numbers a document) go to the shared
-folder. A forest of random splits is grown on a bounded sample of them, path lengths give
-each document an anomaly score, and the threshold is the one that keeps the wanted share of
-labelled good rows which pass the base rules.
+folder. Each rule's statistic is a ratio, and its limits are the outermost that labelled good rows reach, but for a share
+of them (LIMIT_SHARE). A forest of random splits is grown over how far documents lie outside the limits, each tree on a
+subsample drawn from all documents that pass the base rules. Path lengths give each document an anomaly score, and the threshold is the one
+that keeps the wanted share of labelled good rows. Limits and threshold are exact order statistics of all
+labelled rows, counted in the executors.
 
 Null texts have no words and fail the base rules. Rows are never merged: repeated rows give
 repeated results. Without labelled good rows only the base rules reject. Other columns are
@@ -13,6 +15,8 @@ ignored, an empty table gives an empty one.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,11 @@ COUNTS = [
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-TREES, TREE_ROWS, SAMPLE_ROWS, CALIBRATION_ROWS = 100, 64, 20_000, 20_000
-#: What the rules allow: symbols a word, shares of lines, words, characters; letters a word.
-SYMBOLS_PER_WORD, DUP_LINES, REPEAT_WORDS, DIGITS, UPPER, WORD_LENGTH = 0.1, 0.3, 0.2, 0.15, 0.3, (3, 12)
-#: Share of labelled good rows past the base rules that the threshold keeps.
-KEEP_GOOD = 0.995
+TREES, TREE_ROWS = 100, 64
+#: Share of labelled good rows past the base rules that lies within a rule's limit on one side, and that the threshold keeps.
+LIMIT_SHARE, KEEP_GOOD = 0.999, 0.995
+#: Bits of a value that a round of counting settles.
+ROUND_BITS = 11
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -74,20 +78,84 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
 
 
-def features(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """By how much a document exceeds what each rule allows; 0 in every column for ordinary prose."""
+RULES = ["symbols a word", "repeated lines", "repeated words", "letters a word", "digits", "marks a word", "capitals", "words a line"]
+
+
+def ratios(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """The statistic of each rule, none below 0."""
     c = {k: np.asarray(v, dtype=float) for k, v in counts.items()}
     n, lines, chars = (np.maximum(c[k], 1) for k in ("n_words", "n_lines", "word_chars"))
-    above = lambda x, most: np.maximum(0, x - most)
-    symbols = above(c["n_symbols"] / n, SYMBOLS_PER_WORD)
     return np.column_stack([
-        np.log1p(1000 * symbols), np.log1p(1000 * symbols * n / chars),
-        above(c["n_dup_lines"] / lines, DUP_LINES), above(c["n_repeat_words"] / n, REPEAT_WORDS),
-        above(chars / n, WORD_LENGTH[1]) + above(WORD_LENGTH[0], chars / n), above(c["n_digits"] / chars, DIGITS),
-        above(0.01, c["n_marks"] / n) * (n > 200), above(c["n_upper"] / chars, UPPER),
+        c["n_symbols"] / n, c["n_dup_lines"] / lines, c["n_repeat_words"] / n, chars / n,
+        c["n_digits"] / chars, c["n_marks"] / n, c["n_upper"] / chars, n / lines,
     ])
 
 
+@dataclass
+class Limits:
+    """What each rule allows; outside() is 0 within and grows with the distance, in widths of the allowed range."""
+
+    low: np.ndarray
+    high: np.ndarray
+
+    def outside(self, x: np.ndarray) -> np.ndarray:
+        width = np.maximum(self.high - self.low, 1e-3)
+        return np.log1p((np.maximum(0, x - self.high) + np.maximum(0, self.low - x)) / width * 10)
+
+
+@dataclass
+class Rank:
+    """The value wanted at a share of a named list of values, and the leading bits of it found so far."""
+
+    name: int
+    share: float
+    upper: bool
+    prefix: int = 0
+    place: int = -1
+
+
+def order_statistics(values: DataFrame, wanted: list[Rank]) -> list[float] | None:
+    """Exact values at the wanted ranks of `values` (name int, bits long: the bits of a double >= 0); None if a list is empty.
+
+    The bits of such doubles are in their order. Each round counts the values by their next ROUND_BITS bits, so the driver sees
+    at most 2 ** ROUND_BITS counts for each rank.
+    """
+    known = 63
+    while known:
+        shift = max(0, known - ROUND_BITS)
+        near = reduce(lambda a, b: a | b, ((F.col("name") == r.name) & (F.shiftright("bits", known) == r.prefix) for r in wanted))
+        counted = (values if known == 63 else values.where(near)).groupBy("name", F.shiftright("bits", shift).alias("bits")).agg(F.count("*").alias("n"))
+        found: dict[int, list[tuple[int, int]]] = {}
+        for name, bits, n in counted.collect():
+            found.setdefault(name, []).append((bits, n))
+        for r in wanted:
+            own = sorted(x for x in found.get(r.name, []) if x[0] >> (known - shift) == r.prefix)
+            if not own:
+                return None
+            if r.place < 0:
+                at = r.share * (sum(n for _, n in own) - 1)
+                r.place = int(np.ceil(at - 1e-9) if r.upper else np.floor(at + 1e-9))
+            for bits, n in own:
+                if r.place < n:
+                    r.prefix = bits
+                    break
+                r.place -= n
+        known = shift
+    return np.array([r.prefix for r in wanted], dtype=np.int64).view(np.float64).tolist()
+
+
+def listed(stats: DataFrame, made) -> DataFrame:
+    """name, bits of the columns of made(counts), a matrix of numbers >= 0, for every row of stats."""
+
+    def run(batches):
+        for batch in batches:
+            x = made({c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS}) + 0.0
+            names = np.tile(np.arange(x.shape[1], dtype=np.int32), len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))], ["name", "bits"])
+
+    return stats.select(*COUNTS).mapInArrow(run, "name int, bits long")
+
+
 class IsolationForest:
     """Random splits on bounded subsamples; a short mean path marks an anomaly."""
 
@@ -101,13 +169,16 @@ class IsolationForest:
         return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
     def fit(self, x: np.ndarray) -> IsolationForest:
+        """x: rows in random order, enough for every tree; with fewer, trees share them."""
         rng = np.random.default_rng(self.seed)
         size = min(self.rows, len(x))
+        apart = len(x) >= size * self.trees
         limit = int(np.ceil(np.log2(max(size, 2))))
         self.norm = max(self.mean_path(size), 1e-9)
-        for _ in range(self.trees):
+        for tree in range(self.trees):
             column, cut, left, right, path = [], [], [], [], []
-            todo = [(rng.choice(len(x), size, replace=False), 0, -1, 0)]
+            own = np.arange(tree * size, (tree + 1) * size) if apart else rng.choice(len(x), size, replace=False)
+            todo = [(own, 0, -1, 0)]
             while todo:
                 rows, depth, parent, side = todo.pop()
                 node = len(column)
@@ -148,36 +219,48 @@ def sample(stats: DataFrame, rows: int) -> dict[str, np.ndarray]:
     return {c: got[c].to_numpy() for c in COUNTS}
 
 
-def threshold(good: np.ndarray, bad: np.ndarray, keep_good: float) -> float:
+def labelled(passing: DataFrame, labels: DataFrame, value: int) -> DataFrame:
+    """The rows of documents that have this quality label."""
+    ids = labels.where(F.col("quality") == value).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return passing.join(ids, "doc_id", "left_semi")
+
+
+def fit_limits(good: DataFrame, share: float = LIMIT_SHARE) -> Limits | None:
+    wanted = [Rank(i, q, up) for q, up in ((1 - share, False), (share, True)) for i in range(len(RULES))]
+    got = order_statistics(listed(good, ratios), wanted)
+    return got and Limits(*np.array(got).reshape(2, -1))
+
+
+def threshold(good: DataFrame, bad: DataFrame, scored, keep_good: float) -> float:
     """Keeps the wanted share of the good rows; half way to the bad rows' low end where that lies higher."""
-    if not len(good):
+    cut = order_statistics(listed(good, scored), [Rank(0, keep_good, True)])
+    low = order_statistics(listed(bad, scored), [Rank(0, 1 - keep_good, False)])
+    if not cut:
         return float("inf")
-    cut = float(np.quantile(good, keep_good, method="higher"))
-    low = float(np.quantile(bad, 1 - keep_good, method="lower")) if len(bad) else cut
-    return (cut + low) / 2 if low > cut else cut
+    return (cut[0] + low[0]) / 2 if low and low[0] > cut[0] else cut[0]
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, calibration_rows: int = CALIBRATION_ROWS, keep_good: float = KEEP_GOOD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, trees: int = TREES, tree_rows: int = TREE_ROWS, keep_good: float = KEEP_GOOD) -> DataFrame:
     """doc_id, COUNTS, base_failed, anomaly, kept for every document.
 
-    sample_rows and calibration_rows bound what the driver holds to fit the forest and its threshold.
+    The driver holds the subsamples of the trees, trees * tree_rows rows of counts.
     """
     stats = stored(statistics(docs), "quality-statistics").withColumn("base_failed", base_failed())
     passing = stats.where(~F.col("base_failed"))
-    x = features(sample(passing, sample_rows))
-    forest = IsolationForest().fit(x) if len(x) else None
-    cut = float("inf")
-    if forest is not None:
-        scores = []
-        for quality in (1, 0):
-            ids = labels.where(F.col("quality") == quality).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-            scores.append(forest.score(features(sample(passing.join(ids, "doc_id", "left_semi"), calibration_rows))))
-        cut = threshold(*scores, keep_good)
+    good, bad = (stored(labelled(passing, labels, y), "quality-labelled") for y in (1, 0))
+    limits = fit_limits(good)
+    forest, cut = None, float("inf")
+
+    def scored(counts: dict[str, np.ndarray]) -> np.ndarray:
+        return forest.score(limits.outside(ratios(counts)))
+
+    if limits:
+        forest = IsolationForest(trees, tree_rows).fit(limits.outside(ratios(sample(passing, trees * tree_rows))))
+        cut = threshold(good, bad, lambda counts: scored(counts)[:, None], keep_good)
 
     def run(batches):
         for batch in batches:
-            got = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS}
-            scores = forest.score(features(got)) if forest is not None else np.zeros(batch.num_rows)
+            scores = scored({c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS}) if limits else np.zeros(batch.num_rows)
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
             extra = [pa.array(scores), pa.array(~failed & (scores <= cut))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "anomaly", "kept"])
