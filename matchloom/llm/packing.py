@@ -4,12 +4,14 @@ Documents are cut into whole windows of the largest tier; what remains is routed
 smallest context tier that holds it. Each tier is packed into windows of its size, gaps of
 longer windows are filled with documents of shorter tiers, best fit first, and the last gap
 by cutting a document. The rest of the last window is cut into windows whose sizes are powers of two,
-which need no padding. Windows of a tier are dealt into step groups of equal token counts.
+which need no padding. Windows of one size are numbered across all tasks and dealt into step groups of equal token counts:
+of the groups of a size only the last can be short.
 
-Packing runs inside each task over a bounded buffer, without a shuffle: a task's result
+Packing runs inside each task over a bounded buffer: a task's result
 depends on its rows and their order alone. Sequence ids are unique, not gapless.
 
-Null texts count as empty: they have the end id only. Repeated rows are packed as often as
+Texts are encoded as the tokenizers library does by default: strings of special tokens become their ids, unless
+special_as_text is set. Null texts count as empty: they have the end id only. Repeated rows are packed as often as
 they occur, null doc_ids stay null, other columns are ignored, an empty table gives an empty one.
 """
 
@@ -24,17 +26,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import stored
+
 WINDOW, SHORTEST = 2048, 128
 END_ID = 1
 END = array("I", [END_ID]).tobytes()
 #: Tokens that a task holds back before it packs them, and tokens of a step group.
 BUFFER_TOKENS, STEP_TOKENS = 1 << 20, 1 << 16
+#: nth: the number of the window among those of its size in its task.
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
-    "sequence_id long, offset long, tier int, step_group long"
+    "sequence_id long, offset long, tier int, task int, nth long"
 )
 
 
@@ -51,16 +57,18 @@ class WordTokenizer:
     #: Pre-tokens of the newer of two generations.
     HELD = 200_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.model = self.tokenizer.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in shown]
         self.byte_chars = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(rest)})
-        probe = "It's 12 Éü, <|endoftext|> ??  x\ny Straße_9 l'été"
+        probe = "It's 12 Éü, <|end|> ??  x\ny Straße_9 l'été"
         self.split_ok = self.by_word(probe) == self.whole(probe)
 
     def whole(self, text: str) -> bytes:
@@ -82,21 +90,22 @@ class WordTokenizer:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        ids = self.by_word(text) if self.split_ok and self.PLAIN.fullmatch(text) else self.whole(text)
+        plain = self.split_ok and self.PLAIN.fullmatch(text) and not self.special.search(text)
+        ids = self.by_word(text) if plain else self.whole(text)
         return np.frombuffer(ids + END, dtype="<u4")
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
     """One for each worker process."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, special_as_text)
 
 
 class Packer:
     """Turns id arrays into pieces of sequences; holds at most a buffer of ids."""
 
-    def __init__(self, task: int, window: int = WINDOW, shortest: int = SHORTEST, buffer: int = BUFFER_TOKENS, step: int = STEP_TOKENS):
-        self.window, self.buffer, self.step = window, buffer, step
+    def __init__(self, task: int, window: int = WINDOW, shortest: int = SHORTEST, buffer: int = BUFFER_TOKENS):
+        self.window, self.buffer = window, buffer
         self.tiers = [t for b in range(window.bit_length(), -1, -1) if shortest <= (t := 1 << b) <= window]
         self.next = task << 40
         self.opened: dict[int, int] = {}
@@ -105,17 +114,12 @@ class Packer:
         self.docs: list[tuple] = []
         self.out: list[tuple] = []
 
-    def group(self, size: int) -> int:
-        """The step group of the next window of this size: as many windows as make a step's tokens."""
-        n = self.opened.get(size, 0)
-        self.opened[size] = n + 1
-        return (self.task << 40) | (n // max(1, self.step // size) << 12) | size.bit_length()
-
     def emit(self, pieces: list[tuple], size: int) -> None:
         """One sequence; a piece is (doc_id, ids, start, stop)."""
-        at, group = 0, self.group(size)
+        at, nth = 0, self.opened.get(size, 0)
+        self.opened[size] = nth + 1
         for doc, ids, start, stop in pieces:
-            self.out.append((doc, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), len(ids), self.next, at, size, group))
+            self.out.append((doc, start, stop - start, zlib.crc32(ids[start:stop].tobytes()), len(ids), self.next, at, size, self.task, nth))
             at += stop - start
         self.next += 1
 
@@ -194,9 +198,22 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
+def step_groups(pieces: DataFrame, step: int) -> DataFrame:
+    """pieces with step_group in place of task and nth; the windows of a size follow each other task by task."""
+    counts = pieces.where("offset = 0").groupBy("tier", "task").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    before = counts.select("tier", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(step) / F.col("tier")))
+    group = (F.floor((F.col("before") + F.col("nth")) / each) * 4096 + F.col("tier")).cast("long")
+    return pieces.join(before, ["tier", "task"]).select(*SHOWN, group.alias("step_group"))
+
+
+SHOWN = [c.split()[0] for c in SCHEMA.split(", ")][:-2]
+
+
+def pack(docs: DataFrame, path: str, window: int = WINDOW, shortest: int = SHORTEST, step: int = STEP_TOKENS, special_as_text: bool = False) -> DataFrame:
     """A row for each piece: where it comes from, its ids' crc32, its sequence, its tier and step group."""
-    types = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+    types = [pa.int64()] * 7 + [pa.int32(), pa.int32(), pa.int64()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -205,7 +222,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shortest: int = SHORT
 
     def run(batches):
         packer = Packer(TaskContext.get().partitionId(), window, shortest)
-        encoder = tokenizer(path)
+        encoder = tokenizer(path, special_as_text)
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 packer.add(doc.as_py(), encoder.encode(text.as_py() or ""))
@@ -213,4 +230,5 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shortest: int = SHORT
         packer.pack()
         yield batch_of(packer.take())
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
+    pieces = docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
+    return step_groups(stored(pieces, "packed-pieces"), step)
