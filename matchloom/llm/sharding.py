@@ -3,7 +3,8 @@
 Rows are ordered by (hash of the text, hash of doc_id), so equal texts lie together. Exact byte
 counts below candidate boundaries are taken in rounds: each round refines only the cells
 that hold a wanted quantile, until every splitter is within tolerance; one exchange then
-deals the rows. The driver sees at most CELLS counts for each splitter and round.
+deals the rows. The driver sees at most CELLS counts for each splitter and round. Shards are cut further, with a looser
+tolerance, into parts of about PART_ROWS rows, as many as it takes; each part is one partition of the exchange.
 
 Law `bytes`: shard sizes are near equal. Equal texts stay in one shard unless their group is
 larger than the tolerance; then it is cut by doc_id. Rows that agree in text and doc_id are
@@ -25,17 +26,18 @@ from .common import stored, text_size
 HALF = Decimal(1 << 63)
 BITS = 8
 CELLS = 1 << BITS
-#: Allowed gap between a boundary and its quantile, as a share of a shard.
-TOLERANCE = 0.002
+#: Allowed gap between a shard's boundary and its quantile, as a share of a shard; the same for parts of a shard.
+TOLERANCE, PART_TOLERANCE = 0.002, 0.25
 #: Rows that one task of the exchange sorts.
-PART_ROWS = 1_000_000
+PART_ROWS = 2_000_000
 
 
 @dataclass
 class Splitter:
-    """A wanted byte count and the boundary (128-bit key, exclusive upper end) found so far."""
+    """A wanted byte count, how far off it may be, and the boundary (128-bit key, exclusive upper end) found so far."""
 
     want: int
+    slack: float
     key: int = 0
     below: int = 0
     cell: int = 0
@@ -47,12 +49,12 @@ def key_columns(text: Column, doc_id: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(doc_id, F.lit(1))
 
 
-def splitters(keyed: DataFrame, wants: list[int], slack: float) -> list[tuple[int, int]]:
-    """Boundaries (hi, lo) as signed longs, ascending: rows at or above the i-th follow splitter i.
+def splitters(keyed: DataFrame, wants: list[tuple[int, float]]) -> list[tuple[int, int]]:
+    """Boundaries (hi, lo) as signed longs, ascending: rows at or above the i-th follow splitter i. wants: byte counts and slacks.
 
     keyed has hi, lo (long) and size (long). Each round counts exact bytes in CELLS cells of every open prefix.
     """
-    open_ = [Splitter(w) for w in wants]
+    open_ = [Splitter(*w) for w in wants]
     for level in range(0, 128, BITS):
         prefixes = sorted({s.cell for s in open_ if not s.done})
         if not prefixes:
@@ -76,9 +78,9 @@ def splitters(keyed: DataFrame, wants: list[int], slack: float) -> list[tuple[in
                 run, last = run + counts[c], c + 1
             held = counts.get(last, 0)
             s.below, s.cell = run, last
-            if s.want - run <= slack:
+            if s.want - run <= s.slack:
                 s.done, s.key = True, last << (128 - level - bits)
-            elif run + held - s.want <= slack:
+            elif run + held - s.want <= s.slack:
                 s.done, s.key, s.below = True, (last + 1) << (128 - level - bits), run + held
             else:
                 s.key = (last + (run + held - s.want < s.want - run)) << (128 - level - bits)
@@ -144,17 +146,17 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE, part_
     total, n = keys.agg(F.sum("size"), F.sum("n")).first()
     if not n:
         return rows.select("row.*", "size", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    finer = max(1, min(64, -(-n // (shards * part_rows))))
+    finer = max(1, -(-n // (shards * part_rows)))
     parts = shards * finer
-    bounds = splitters(keys, [total * i // parts for i in range(1, parts)], total / shards * tolerance)
-    bounds = sorted(bounds)
+    slack = lambda i: total / shards * tolerance if i % finer == 0 else total / parts * PART_TOLERANCE
+    bounds = sorted(splitters(keys, [(total * i // parts, slack(i)) for i in range(1, parts)]))
     starts = dict(keys.groupBy(place(bounds).alias("p")).agg(F.sum("n")).collect())  # one row a part
     first, run = {}, 0
     for p in range(parts):
         run = 0 if p % finer == 0 else run
         first[p], run = run, run + starts.get(p, 0)
     offsets = F.create_map(*(F.lit(x) for p in first for x in (p, first[p])))
-    dealt = rows.withColumn("part", place(bounds)).repartition(parts, "part")
+    dealt = rows.withColumn("part", place(bounds)).repartitionById(parts, "part")
     order = Window.partitionBy("part").orderBy("hi", "lo")
     slot = (offsets[F.col("part")] + F.row_number().over(order) - 1).cast("long")
     return dealt.select("row.*", "size", F.floor(F.col("part") / finer).cast("int").alias("shard"), slot.alias("slot"))
