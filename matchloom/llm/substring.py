@@ -1,19 +1,18 @@
 """Substring dedup over words with an FM-index for each shard.
 
 A window is `window` consecutive words. Windows are routed by their minimizer, the smallest hash of a word
-k-gram inside them; equal windows share it. Runs of windows with one minimizer that two different texts or more
-hold are candidates. Distinct candidate runs are dealt into shards by minimizer, each shard builds a
+k-gram inside them; equal windows share it. Runs of windows with one minimizer that two documents or more
+hold are candidates. Candidate runs are dealt into shards by minimizer, each shard builds a
 compressed FM-index of them, and streams the runs backward through it for matching
 statistics: the windows that also occur in a run of a smaller doc_id. Documents then lose the words such
-windows cover; a document whose whole text a smaller doc_id has loses all words that stand in a window.
+windows cover. Equal runs, those of whole copies too, are one string of the index, whose number is their smallest doc_id.
 
 The shared minimizers reach the tasks as a bitmap over their leading bits, if there are at most MAX_SHARED (32 MB);
 beyond that by a join. A minimizer with over CROWD places sends its windows one by one, dealt by their words, so
-no shard gathers it. Distinct runs carry only their smallest doc_id: every larger document loses the whole run.
+no shard gathers it. A run that very many documents hold is joined with its result by broadcast, and documents that lose nothing are not shuffled.
 
 Null doc_ids have no order: such rows are kept whole and are no source. Null texts have no words. Rows that share a
-doc_id do not remove each other's words. Extra columns pass through unless named n_removed; an
-empty table gives an empty one.
+doc_id do not remove each other's words. Extra columns pass through, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, release, slices, stored_at, words
+from .common import discard, hot_join, key_filter, release, slices, stored_at, words
 from .fmindex import FmIndex, earlier_windows
 
 WINDOW, GRAM = 13, 6
@@ -166,7 +165,9 @@ def strings_by_bitmap(rows: DataFrame, shared: DataFrame, n: int, window: int, g
 def strings_by_join(rows: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
     """STRINGS of the candidate runs, for any number of shared minimizers."""
     runs = minimizers(rows, window, gram).join(shared, "mh").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "windows", "mh", "crowd")).alias("runs"))
-    held = rows.join(runs, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
+    runs = stored_at(runs, "document-runs")[0]
+    maybe = key_filter(runs.select(F.xxhash64("doc_id", "th").alias("key")), "key")
+    held = maybe.keep(rows, F.xxhash64("doc_id", "th")).join(runs, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
 
     def run(batches):
         made = StringRows(window)
@@ -188,7 +189,7 @@ def line_keys(line: Column) -> tuple[Column, Column]:
 
 
 def search_shards(distinct: DataFrame, window: int) -> DataFrame:
-    """k1, k2, first, mask: of each distinct run its smallest doc_id and the windows that occur below it (bit i: window i)."""
+    """k1, k2, first, last, n, mask: of each distinct run its smallest doc_id and the windows that occur below it (bit i: window i)."""
 
     def shard(table: pa.Table) -> pa.Table:
         whole = table.column("words").to_pylist()
@@ -203,54 +204,50 @@ def search_shards(distinct: DataFrame, window: int) -> DataFrame:
         index = FmIndex(symbols, starts, ranks, int(lengths.max()) + 1)
         hits = earlier_windows(index, symbols, starts, lengths, ranks, window)
         mask = [sum(1 << int(i) for i in np.flatnonzero(h)) for h in hits]
-        return pa.Table.from_arrays([*keys, table.column("first"), pa.array(mask, pa.int64())], ["k1", "k2", "first", "mask"])
+        counts = (table.column(c) for c in ("first", "last", "n"))
+        return pa.Table.from_arrays([*keys, *counts, pa.array(mask, pa.int64())], ["k1", "k2", "first", "last", "n", "mask"])
 
-    return distinct.groupBy("shard").applyInArrow(shard, "k1 long, k2 long, first long, mask long")
-
-
-def whole_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, th of the documents whose text a smaller doc_id has, by a 128-bit hash."""
-    ids = docs.where("doc_id is not null and text is not null").select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), F.xxhash64(F.lit(1), docs["text"]).alias("tk")
-    )
-    firsts = ids.groupBy("th", "tk").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return ids.join(firsts, ["th", "tk"]).where("doc_id > first").select("doc_id", "th")
+    return distinct.groupBy("shard").applyInArrow(shard, "k1 long, k2 long, first long, last long, n long, mask long")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, th, marks of the documents that lose words: an array of start and mask (bit i: the window at start + i), start -1 for all windows."""
+    """doc_id, th, marks of the documents that lose words: an array of start and mask (bit i: the window at start + i)."""
     spark = docs.sparkSession
     rows = hashed(docs).where("doc_id is not null and text is not null")
-    spots = minimizers(rows, window, gram).groupBy("mh").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.count("*").alias("n"))
+    spots = minimizers(rows, window, gram).groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
     shared, shared_path = stored_at(spots.where("a < b").select("mh", (F.col("n") > CROWD).alias("crowd")), "shared-minimizers")
     del spots
     release(spark)
     n = shared.count()
     found = strings_by_bitmap(rows, shared, n, window, gram) if n <= MAX_SHARED else strings_by_join(rows, shared, window, gram)
-    cut, cut_path = stored_at(found, "candidate-runs")
-    shards = max(1, -(-(cut.agg(F.sum(F.col("windows").cast("long") + window)).first()[0] or 0) // shard_words))
+    runs, runs_path = stored_at(found, "candidate-runs")
+    shards = max(1, -(-(runs.agg(F.sum(F.col("windows").cast("long") + window)).first()[0] or 0) // shard_words))
     shard = F.pmod(F.col("route"), F.lit(shards)).cast("int").alias("shard")
-    distinct = cut.groupBy(shard, "words").agg(F.min("doc_id").alias("first"))
-    judged, judged_path = stored_at(search_shards(distinct, window), "judged-runs")
+    distinct = runs.groupBy(shard, "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    judged, judged_path = stored_at(search_shards(distinct, window).where("mask <> 0 or first < last"), "judged-runs")
     del distinct, found
     release(spark)
-    met = cut.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows").join(judged, ["k1", "k2"])
+    met = hot_join(runs.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows"), judged, ["k1", "k2"])
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("windows")) - 1
     mask = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("mask"))
     gone = met.select("doc_id", "th", "start", mask.alias("mask")).where("mask <> 0")
-    copies = whole_copies(docs).select("doc_id", "th", F.lit(-1).alias("start"), F.lit(0).cast("long").alias("mask"))
-    marks, _ = stored_at(gone.unionByName(copies).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("marks")), "marks")
+    marks, _ = stored_at(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("marks")), "marks")
     del met, gone
-    for path in (shared_path, cut_path, judged_path):
+    for path in (shared_path, runs_path, judged_path):
         discard(spark, path)
     release(spark)
     return marks
 
 
+def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows (with doc_id, th) and their marks, null for documents that lose nothing: these are not shuffled."""
+    maybe = key_filter(marks.select(F.xxhash64("doc_id", "th").alias("key")), "key")
+    whole = maybe.keep(rows, F.xxhash64("doc_id", "th"), "left_anti").withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType))
+    return whole.union(maybe.keep(rows, F.xxhash64("doc_id", "th")).join(marks, ["doc_id", "th"], "left").select(*whole.columns))
+
+
 def covered(n: int, marks: list[dict], window: int) -> np.ndarray:
     """Which of n words the marked windows cover."""
-    if any(m["start"] < 0 for m in marks):
-        return np.full(n, n >= window)
     edge = np.zeros(n + 1, dtype=np.int64)
     for m in marks:
         bits, s = m["mask"], m["start"]
@@ -281,28 +278,30 @@ def digest(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
             cols = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = hashed(docs).join(marks, ["doc_id", "th"], "left").select("doc_id", "text", "marks")
+    joined = marked(hashed(docs), marks).select("doc_id", "text", "marks")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs with the covered words taken out, and n_removed; a text that loses none stays as it is."""
-    names = [c for c in docs.columns if c != "n_removed"]
-    at = names.index("text")
+def cut(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """row (a struct of all columns of docs but text), text without the covered words, n_removed; a text that loses none stays as it is."""
     marks = removals(docs, window, gram)
+    others = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
     keys = docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th")
-    rows = docs.select(F.struct(*names).alias("row"), *keys).join(marks, ["doc_id", "th"], "left")
-    schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("n_removed", T.LongType())])
-    columns = [F.col("row").getField(c).alias(c) for c in names]
+    rows = marked(docs.select(others, docs["text"], *keys), marks).select("row", "text", "marks")
+    schema = T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("n_removed", T.LongType())])
 
     def run(batches):
         for batch in slices(batches):
             texts, removed = [], []
-            for t, m in zip(batch.column(at), batch.column(len(names)), strict=True):
+            for t, m in zip(batch.column(1), batch.column(2), strict=True):
                 _, n, left = kept_words(t.as_py(), m.as_py(), window) if m.is_valid else (0, 0, b"")
                 texts.append(left.decode() if n else t.as_py())
                 removed.append(n)
-            made = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*made, pa.array(removed, pa.int64())], [*names, "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["row", "text", "n_removed"])
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.select(*columns, F.col("marks").alias("_n_removed_marks")).mapInArrow(run, schema)
+
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs with the covered words taken out; all columns of docs."""
+    return cut(docs, window, gram).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
