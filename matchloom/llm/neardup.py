@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, slices, stored
+from .common import ASCII_LOWER, hot_join, slices, stored
 from .components import components
 from .simhash import fingerprint_of, near_pairs, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, SAMPLE, LEADERS = 8, 3, 4
+SKETCHES, SAMPLE, LEADERS = 12, 3, 4
 #: Texts with a common shingle meet in blocks of about so many.
 BLOCK = 1024
 LAST = (1 << 63) - 1
@@ -111,16 +111,16 @@ def shingles(texts: DataFrame) -> DataFrame:
 def unmet(texts: DataFrame, least: float) -> DataFrame:
     """c, leader: pairs of different components among the texts (c, component, text), with all that are similar."""
     rows = stored(shingles(texts), "shingles")
-    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    often = stored(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared-shingles")
     # shingles of one text alone come first; they take places but match nothing
     own = Window.partitionBy("c")
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h"))
-    keyed = rows.join(often, "h").withColumn("at", place).where(F.col("at") <= F.col("n") * F.lit(1 - least) + 1 + 1e-9)
+    keyed = hot_join(rows, often, ["h"], "df").withColumn("at", place).where(F.col("at") <= F.col("n") * F.lit(1 - least) + 1 + 1e-9)
     keyed = stored(keyed.select("h", "c", "component", "n", "at"), "prefixes")
     # a pair of two components has a side outside the largest, so that one's members are not paired with each other
     sizes = keyed.groupBy("h", "component").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("h").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
-    held = keyed.join(sizes, "h").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+    held = hot_join(keyed, stored(sizes, "prefix-sizes"), ["h"], "k").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
     a = held.where("component <> main").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).alias("a")
     b = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
     common = F.lit(least / (1 + least)) * (F.col("a.n") + F.col("b.n")) - 1e-9

@@ -27,6 +27,8 @@ from .common import ASCII_LOWER, slices, stored
 from .components import components
 
 SEED, RADIUS, SEGMENTS, BUCKET = 42, 2, 5, 128
+#: Hashes whose bits are unpacked at once.
+BLOCK = 1 << 16
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -47,8 +49,10 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     """The SimHash as an unsigned number."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    set_ = bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes)
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    set_ = ones * 2 > len(hashes)
     return int.from_bytes(np.packbits(set_).tobytes(), "big")
 
 
