@@ -20,9 +20,9 @@ ORACLE_SQL = None
 
 
 def _as_documents(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents again, n_chars counted anew."""
-    kept = rows.select(*columns)
-    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else kept
+    """The columns of documents again, from row (a struct of them) and the new text; n_chars counted anew."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; documents of which nothing is left go too."""
-    less = linededup.dedup(docs)
-    left = less.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t\\n\\r\\x0B\\f]"))
-    return _as_documents(left, docs.columns)
+    less = linededup.cut(docs)
+    return _as_documents(less.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t\\n\\r\\x0B\\f]")), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +44,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has go; documents of which nothing is left go too."""
-    less = substring.dedup(ship(spark) and docs)
-    left = less.where((F.col("n_removed") == 0) | (F.col("text") != ""))
-    return _as_documents(left, docs.columns)
+    less = substring.cut(ship(spark) and docs)
+    return _as_documents(less.where((F.col("n_removed") == 0) | (F.col("text") != "")), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
