@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions import text as T
+from ..session import stored
 
 WEAK = 0.3
 
@@ -47,10 +48,9 @@ def fuzzy_ratios(pairs: DataFrame) -> DataFrame:
     """Adds the Indel family and the contradictions that rest on it."""
     c = {x: T.or_empty(F.col(x)) for x in ("name_1", "name_2", "addr_1", "addr_2")}
     n1, n2, a1, a2 = c.values()
-    out = pairs.withColumns({
-        "name_fuzz_ratio": fuzzy.indel_ratio(n1, n2), "name_fuzz_token_set": fuzzy.token_set_ratio(n1, n2),
-        "name_fuzz_token_sort": fuzzy.token_sort_ratio(n1, n2), "addr_fuzz_token_set": fuzzy.token_set_ratio(a1, a2),
-    })
+    names = {"name_fuzz_ratio": "name_ratio", "name_fuzz_token_set": "name_set", "name_fuzz_token_sort": "name_sort", "addr_fuzz_token_set": "addr_set"}
+    out = pairs.withColumn("_ratios", fuzzy.ratios(n1, n2, a1, a2))
+    out = out.select(*pairs.columns, *(F.col("_ratios").getField(part).alias(name) for name, part in names.items()))
     return out.withColumns({
         "name_contradiction": flag(both(n1, n2) & (F.col("name_fuzz_token_set") < WEAK)),
         "addr_contradiction": flag(both(a1, a2) & (F.col("addr_fuzz_token_set") < WEAK)),
@@ -60,17 +60,19 @@ def fuzzy_ratios(pairs: DataFrame) -> DataFrame:
 def idf_jaccard(pairs: DataFrame, idf: DataFrame) -> DataFrame:
     """Adds name_idf_jaccard: summed idf of shared over all name tokens; unknown terms weigh 0, 0 if the sum is not positive.
 
-    All tokens weigh as much as both sides less what they share, so each record's tokens are summed once, not once a pair.
+    All tokens weigh as much as both sides less what they share. Each record's tokens are split and weighed once, and its sum with them; pairs meet
+    them by (record, term). s1_id and s2_id name one text each.
     """
 
-    def total(n: int) -> DataFrame:
+    def terms(n: int) -> DataFrame:
         names = pairs.groupBy(f"s{n}_id").agg(F.first(f"name_{n}").alias("name"))
-        terms = names.select(f"s{n}_id", F.explode(F.array_distinct(T.space_tokens(F.col("name")))).alias("term"))
-        return terms.join(idf, "term").groupBy(f"s{n}_id").agg(F.sum("idf").alias(f"sum_{n}"))
+        return names.select(f"s{n}_id", F.explode(F.array_distinct(T.space_tokens(F.col("name")))).alias("term")).join(idf, "term")
 
-    shared = F.array_intersect(T.space_tokens(F.col("name_1")), T.space_tokens(F.col("name_2")))
-    both = pairs.select("s1_id", "s2_id", F.explode(shared).alias("term")).join(idf, "term").groupBy("s1_id", "s2_id").agg(F.sum("idf").alias("common"))
-    out = pairs.join(both, ["s1_id", "s2_id"], "left").join(total(1), "s1_id", "left").join(total(2), "s2_id", "left")
+    left, right = stored(terms(1), "weighed-names"), stored(terms(2), "weighed-names")
+    total = lambda df, n: df.groupBy(f"s{n}_id").agg(F.sum("idf").alias(f"sum_{n}"))
+    met = pairs.select("s1_id", "s2_id").distinct().join(left, "s1_id").join(right.drop("idf"), ["s2_id", "term"])
+    both = met.groupBy("s1_id", "s2_id").agg(F.sum("idf").alias("common"))
+    out = pairs.join(both, ["s1_id", "s2_id"], "left").join(total(left, 1), "s1_id", "left").join(total(right, 2), "s2_id", "left")
     out = out.na.fill(0.0, ["common", "sum_1", "sum_2"])
     every = F.col("sum_1") + F.col("sum_2") - F.col("common")
     value = F.when(every > 1e-12, F.col("common") / every).otherwise(0.0)

@@ -6,7 +6,7 @@ nothing is held as a driver-side dictionary.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,18 +15,20 @@ def postings(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.explode(tokens).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def vocabulary(posts: DataFrame, min_df: int = 1, max_df: int | None = None, max_features: int | None = None) -> DataFrame:
-    """term, df; optionally the terms within df bounds, and the most frequent of them (ties by term)."""
-    vocab = posts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+def vocabulary(posts: DataFrame, min_df: int = 1, max_df: int | None = None, max_features: int | None = None, by: str = "df") -> DataFrame:
+    """term, df; optionally the terms within df bounds, and of them those of largest `by`: df or tf, the uses in all records (ties by term)."""
+    vocab = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df)
     if max_df is not None:
         vocab = vocab.where(F.col("df") <= max_df)
-    return vocab.orderBy(F.desc("df"), "term").limit(max_features) if max_features else vocab
+    if max_features:
+        vocab = vocab.orderBy(F.desc(by), "term").limit(max_features)
+    return vocab.select("term", "df")
 
 
 def tfidf_vocabulary(posts: DataFrame, n_docs: int, max_features: int | None = None) -> DataFrame:
-    """term, df, idf = ln((1 + N) / (1 + df)) + 1."""
+    """term, df, idf = ln((1 + N) / (1 + df)) + 1; max_features takes the terms used most often."""
     idf = F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1
-    return vocabulary(posts, max_features=max_features).withColumn("idf", idf)
+    return vocabulary(posts, max_features=max_features, by="tf").withColumn("idf", idf)
 
 
 def evidence_idf(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -39,14 +41,17 @@ def evidence_idf(df: DataFrame, key: str, tokens: Column) -> DataFrame:
 def tfidf_weights(posts: DataFrame, vocab: DataFrame) -> DataFrame:
     """id, term, df, weight: tf * idf over the norm of the record's known terms."""
     raw = posts.join(vocab, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", "df", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", "df", (F.col("raw") / norm).alias("weight"))
 
 
-def bm25_weights(posts: DataFrame, lengths: DataFrame, vocab: DataFrame, n_docs: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """id, term, df, weight of a BM25 index; lengths has id, dl for every record, also those without postings."""
+def bm25_weights(posts: DataFrame, lengths: DataFrame, vocab: DataFrame, n_docs: int, k1: float = 1.5, b: float = 0.75, scaled: bool = True) -> DataFrame:
+    """id, term, df, weight of a BM25 index; lengths has id, dl for every record, also those without postings.
+
+    scaled: with the factor k1 + 1, which changes no order.
+    """
     mean = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
     idf = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = F.col("tf") * (k1 + 1 if scaled else 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     joined = posts.join(vocab, "term").join(lengths, "id").join(F.broadcast(mean))
     return joined.select("id", "term", "df", (idf * part).alias("weight"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, compete, decide, evaluate, evidence, features, fuse, index, retrieve
-from ..session import ship, spread
+from ..session import ship, spread, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,14 +24,14 @@ SHORT_BLOCK, SALTS = 1000, 64
 
 
 def query(oracle: str | None = None):
-    """Register a query under its own name."""
+    """Register a query under its own name; settings other than the registered ones are for tests."""
 
     def add(f):
         @functools.wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def run(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
             ship(spark)
             read = functools.lru_cache(None)(lambda name: spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
-            return f(read)
+            return f(read, **settings)
 
         QUERIES[f.__name__] = run
         if oracle:
@@ -62,12 +62,14 @@ def _tok(src: str, key: str, col: str, least: int = 2) -> str:
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _EN = ", ".join(f"'{w}'" for w in T.ENGLISH_STOP_WORDS)
-#: SQL: TF-IDF weights of corpus (dw) and queries (qw) over documents and benchmark.
-_TFIDF = f"""
+def _tfidf_sql(max_features: int | None = None) -> str:
+    """SQL: TF-IDF weights of corpus (dw) and queries (qw) over documents and benchmark."""
+    limit = f" ORDER BY sum(tf) DESC, term LIMIT {max_features}" if max_features else ""
+    return f"""
     n AS (SELECT count(*) AS n FROM documents),
     dp AS (SELECT id, term, count(*) AS tf FROM ({_tok("documents", "doc_id", "text")}) GROUP BY ALL),
     qp AS (SELECT id, term, count(*) AS tf FROM ({_tok("benchmark", "item_id", "text")}) GROUP BY ALL),
-    vocab AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM dp, n GROUP BY term),
+    vocab AS (SELECT term, count(*) AS df, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM dp, n GROUP BY term{limit}),
     dr AS (SELECT id, term, df, tf * idf AS raw FROM dp JOIN vocab USING (term)),
     qr AS (SELECT id, term, df, tf * idf AS raw FROM qp JOIN vocab USING (term)),
     dw AS (SELECT id, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM dr),
@@ -77,17 +79,20 @@ _TFIDF = f"""
         SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM cosine WHERE score > 0) WHERE rank <= {K})"""
 
 
-def _bm25_sql(name: str, index_tok: str, length_tok: str, query_tok: str, bounds: str = "TRUE", query_bounds: str = "TRUE") -> str:
+_TFIDF = _tfidf_sql()
+
+
+def _bm25_sql(name: str, index_tok: str, length_tok: str, query_tok: str, bounds: str = "TRUE", query_bounds: str = "TRUE", factor: float = 2.5) -> str:
     return f"""
     {name}p AS (SELECT id, term, count(*) AS tf FROM ({index_tok}) GROUP BY ALL),
     {name}l AS (SELECT d.doc_id AS id, coalesce(c, 0) AS dl FROM documents d LEFT JOIN (SELECT id, count(*) AS c FROM ({length_tok}) GROUP BY id) x ON x.id = d.doc_id),
     {name}v AS (SELECT term, count(*) AS df FROM {name}p GROUP BY term HAVING {bounds}),
     {name}w AS (SELECT p.id, term, ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1)
-        * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM {name}l))) AS w
+        * tf * {factor} / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM {name}l))) AS w
         FROM {name}p p JOIN {name}v USING (term) JOIN {name}l l ON l.id = p.id WHERE {query_bounds}),
+    {name}s AS (SELECT q.id AS s1_id, d.id AS s2_id, round(sum(d.w), 9) AS score FROM (SELECT DISTINCT id, term FROM ({query_tok})) q JOIN {name}w d USING (term) GROUP BY ALL),
     {name} AS (SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, score FROM (
-        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM (
-            SELECT q.id AS s1_id, d.id AS s2_id, round(sum(d.w), 9) AS score FROM (SELECT DISTINCT id, term FROM ({query_tok})) q JOIN {name}w d USING (term) GROUP BY ALL)) WHERE rank <= {K})"""
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM {name}s) WHERE rank <= {K})"""
 
 
 _W1D, _W1Q = _tok("documents", "doc_id", "text", 1), _tok("benchmark", "item_id", "text", 1)
@@ -97,7 +102,7 @@ _SQ = f"SELECT * FROM ({_tok('benchmark', 'item_id', 'text')}) WHERE term NOT IN
 _BM25B = _bm25_sql("bm25b", _SD, _SD, _SQ, "count(*) BETWEEN 2 AND 80000")
 _ED = f"SELECT * FROM ({_tok('documents', 'doc_id', 'text')}) WHERE term NOT IN ({_EN})"
 _EQ = f"SELECT * FROM ({_tok('benchmark', 'item_id', 'text')}) WHERE term NOT IN ({_EN})"
-_BM25L = _bm25_sql("bm25l", _ED, _ED, _EQ)
+_BM25L = _bm25_sql("bm25l", _ED, _ED, _EQ, factor=1.0)
 #: SQL: documents that contain a whole passage.
 _TRUTH = "truth AS (SELECT b.item_id AS s1_id, d.doc_id AS s2_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(d.text, b.text))"
 _RANKED = "SELECT s1_id, s2_id, rank, round(score, 6) AS score FROM "
@@ -108,20 +113,21 @@ def _out(found: DataFrame) -> DataFrame:
 
 
 def _tfidf(t, tokenizer: str = "w2", **kw) -> retrieve.TfidfRetriever:
-    return retrieve.TfidfRetriever(t("documents"), "doc_id", "text", T.TOKENIZERS[tokenizer], **kw)
+    return retrieve.TfidfRetriever.fit(t("documents"), "doc_id", "text", T.TOKENIZERS[tokenizer], **kw)
 
 
 def _tfidf_found(t) -> DataFrame:
-    return _tfidf(t).search(t("benchmark"), "item_id", "text", K)
+    return stored(_tfidf(t).search(t("benchmark"), "item_id", "text", K), "found")
 
 
 def _bm25a_found(t) -> DataFrame:
-    bm25 = retrieve.Bm25Retriever(t("documents"), "doc_id", "text", T.TOKENIZERS["w1"], min_df=2, max_features=300_000, query_stop=T.STOP_WORDS, max_posting=80_000)
+    bm25 = retrieve.Bm25Retriever.fit(t("documents"), "doc_id", "text", T.TOKENIZERS["w1"], min_df=2, max_features=300_000, query_stop=T.STOP_WORDS, max_posting=80_000)
     return bm25.search(t("benchmark"), "item_id", "text", K)
 
 
 def _bm25b_found(t) -> DataFrame:
-    return retrieve.Bm25Retriever(t("documents"), "doc_id", "text", T.TOKENIZERS["w1_stop"], min_df=2, max_df=80_000).search(t("benchmark"), "item_id", "text", K)
+    bm25 = retrieve.Bm25Retriever.fit(t("documents"), "doc_id", "text", T.TOKENIZERS["w1_stop"], min_df=2, max_df=80_000)
+    return stored(bm25.search(t("benchmark"), "item_id", "text", K), "found")
 
 
 def _truth(t, gram: int = 4) -> DataFrame:
@@ -195,20 +201,60 @@ def clean_text_ascii(t) -> DataFrame:
     return t("documents").select("doc_id", F.md5(T.clean_text(F.col("text"))).alias("clean_md5"))
 
 
-@query()
+#: SQL: letters and marks apart, as compatibility decomposition leaves them: an accented letter becomes the letter and a space.
+_APART = "array_to_string(list_transform(string_split(lower(coalesce({0}, '')), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || ' ' ELSE c END), '')"
+
+
+def _name_sql(x: str) -> str:
+    kept = rf"trim(regexp_replace(regexp_replace({_APART.format(x)}, '[^\p{{L}}\p{{N}}_\s\p{{Z}}\-]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(' ' || {kept}, '([^\p{{L}}\p{{N}}_])(?:inc\.?|llc|ltd\.?|pvt ltd\.?|private limited|gmbh)$', '\1'))"
+
+
+def _address_sql(x: str) -> str:
+    """Separators are doubled, so that words with one between them are both found, and halved again."""
+    out = rf"regexp_replace({_APART.format(x)}, '[^\p{{L}}\p{{N}}_\s\p{{Z}}\-,]', ' ', 'g')"
+    out = rf"' ' || regexp_replace({out}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || ' '"
+    for short, long in T.STREET_WORDS:
+        out = rf"regexp_replace({out}, '([^\p{{L}}\p{{N}}_])(?:{short})([^\p{{L}}\p{{N}}_])', '\1{long}\2', 'g')"
+    return rf"trim(regexp_replace(replace(replace({out}, '--', '-'), ',,', ','), '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+def _postal_sql(x: str) -> str:
+    return rf"""regexp_replace(regexp_extract(' ' || regexp_replace({x}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || ' ',
+        '[^\p{{L}}\p{{N}}_](\p{{Nd}}{{5}}(?:(?:--|\s\s|\p{{Z}}\p{{Z}})\p{{Nd}}{{4}})?|\p{{Nd}}{{6}}|\p{{Nd}}{{3}}(?:\s\s|\p{{Z}}\p{{Z}})\p{{Nd}}{{3}})[^\p{{L}}\p{{N}}_]', 1), '\P{{Nd}}', '', 'g')"""
+
+
+@query(f"""
+    SELECT doc_id, md5({_name_sql('text')}) AS name_md5, {_address_sql('source')} AS address_norm, trim(lower(coalesce(lang, ''))) AS country_norm,
+           {_postal_sql("coalesce(source, '')")} AS postal_code, CAST(trim(coalesce(source, '')) = '' AS INTEGER) AS address_missing FROM documents""")
 def normalize_documents(t) -> DataFrame:
     rows = features.normalize_unicode(t("documents"), "text", "source", "lang")
     return rows.select("doc_id", F.md5("name_norm").alias("name_md5"), "address_norm", "country_norm", "postal_code", "address_missing")
 
 
-@query(r"""
-    SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^\p{L}\p{N}_\s\-]', ' ', 'g'), '\s+', ' ', 'g')) AS name_norm,
-           trim(regexp_replace(regexp_replace(lower(c_mktsegment), '[^\p{L}\p{N}_\s,\-]', ' ', 'g'), '\s+', ' ', 'g')) AS address_norm,
-           lower(n_name) AS country_norm, 0 AS address_missing
-    FROM customer JOIN nation ON c_nationkey = n_nationkey""")
-def normalize_customers(t) -> DataFrame:
+#: Legal forms and street words that stand behind customers' names and addresses, by key, for want of real ones; every seventh address is missing.
+_FORMS = ["", " Inc.", " LLC", " Pvt Ltd", " private limited", ", Ltd", "-GmbH", " Incorporated", " Inc Seafood"]
+_STREETS = [" St", " rd., North", " St Rd", " Ave-Blvd", "", " Str. ,,", " Strand"]
+
+
+def _customer_records(t) -> DataFrame:
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("c_custkey") % len(words) + 1).cast("int"))
     rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return features.normalize_unicode(rows, "c_name", "c_mktsegment", "n_name").select("c_custkey", "name_norm", "address_norm", "country_norm", "address_missing")
+    address = F.concat(F.col("c_custkey").cast("string"), F.lit(" "), "c_mktsegment", pick(_STREETS))
+    return rows.select("c_custkey", F.concat("c_name", pick(_FORMS)).alias("name"), F.when(F.col("c_custkey") % 7 != 0, address).alias("address"), "n_name")
+
+
+_CUSTOMERS = f"""records AS (SELECT c_custkey, c_name || ([{", ".join(f"'{x}'" for x in _FORMS)}])[c_custkey % {len(_FORMS)} + 1] AS name,
+        CASE WHEN c_custkey % 7 <> 0 THEN c_custkey || ' ' || c_mktsegment || ([{", ".join(f"'{x}'" for x in _STREETS)}])[c_custkey % {len(_STREETS)} + 1] END AS address, n_name
+    FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(f"""WITH {_CUSTOMERS}
+    SELECT c_custkey, {_name_sql('name')} AS name_norm, {_address_sql('address')} AS address_norm, trim(lower(n_name)) AS country_norm,
+           CAST(trim(coalesce(address, '')) = '' AS INTEGER) AS address_missing, {_postal_sql("coalesce(address, '')")} AS postal_code FROM records""")
+def normalize_customers(t) -> DataFrame:
+    rows = features.normalize_unicode(_customer_records(t), "name", "address", "n_name")
+    return rows.select("c_custkey", "name_norm", "address_norm", "country_norm", "address_missing", "postal_code")
 
 
 @query(r"""
@@ -224,10 +270,7 @@ def extract_fields(t) -> DataFrame:
     )
 
 
-@query(r"""
-    SELECT doc_id, regexp_replace(regexp_extract(' ' || regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g') || ' ',
-        '[^\p{L}\p{N}_](\p{Nd}{5}(?:(?:--|\s\s|\p{Z}\p{Z})\p{Nd}{4})?|\p{Nd}{6}|\p{Nd}{3}(?:\s\s|\p{Z}\p{Z})\p{Nd}{3})[^\p{L}\p{N}_]', 1), '\P{Nd}', '', 'g') AS postal_code
-    FROM documents""")
+@query(f"SELECT doc_id, {_postal_sql('text')} AS postal_code FROM documents")
 def extract_postal(t) -> DataFrame:
     return t("documents").select("doc_id", T.extract_postal_code(F.col("text")).alias("postal_code"))
 
@@ -312,30 +355,54 @@ def tfidf_topk(t) -> DataFrame:
     return _out(_tfidf_found(t))
 
 
-@query(f"""WITH {_TFIDF}, m AS (SELECT q.id AS s1_id, d.id AS s2_id, round(sum(q.w * d.w), 9) AS score FROM qw q JOIN dw d USING (term) WHERE q.df <= 100 GROUP BY ALL)
+def _masked_sql(max_df: int) -> str:
+    return f"""WITH {_TFIDF}, m AS (SELECT q.id AS s1_id, d.id AS s2_id, round(sum(q.w * d.w), 9) AS score FROM qw q JOIN dw d USING (term) WHERE q.df <= {max_df} GROUP BY ALL)
     SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM m WHERE score > 0) WHERE rank <= {K}""")
-def tfidf_masked_topk(t) -> DataFrame:
-    return _out(_tfidf(t).search(t("benchmark"), "item_id", "text", K, max_df=100))
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM m WHERE score > 0) WHERE rank <= {K}"""
 
 
-@query(f"""WITH {_TFIDF},
+def _blocked_sql(max_posting: int, max_terms: int, max_pool: int) -> str:
+    return f"""WITH {_TFIDF},
     o AS (SELECT id, term, df, row_number() OVER (PARTITION BY id ORDER BY df, term) AS n FROM qw),
-    u AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY df, term) AS turn FROM o WHERE df <= 200 OR n = 1),
-    p AS (SELECT u.id AS s1_id, d.id AS s2_id, min(turn) AS turn FROM u JOIN dw d USING (term) WHERE turn <= 10 GROUP BY ALL),
+    u AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY df, term) AS turn FROM o WHERE df <= {max_posting} OR n = 1),
+    p AS (SELECT u.id AS s1_id, d.id AS s2_id, min(turn) AS turn FROM u JOIN dw d USING (term) WHERE turn <= {max_terms} GROUP BY ALL),
     a AS (SELECT s1_id, turn, coalesce(sum(count(*)) OVER (PARTITION BY s1_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p GROUP BY s1_id, turn),
-    c AS (SELECT s1_id, s2_id FROM (SELECT p.*, row_number() OVER (PARTITION BY s1_id ORDER BY turn, s2_id) AS n FROM p JOIN a USING (s1_id, turn) WHERE before <= 100) WHERE n <= 100)
+    c AS (SELECT s1_id, s2_id FROM (SELECT p.*, row_number() OVER (PARTITION BY s1_id ORDER BY turn, s2_id) AS n FROM p JOIN a USING (s1_id, turn) WHERE before <= {max_pool}) WHERE n <= {max_pool})
     SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM cosine JOIN c USING (s1_id, s2_id) WHERE score > 0) WHERE rank <= {K}""")
-def blocked_topk(t) -> DataFrame:
-    return _out(_tfidf(t).search_blocked(t("benchmark"), "item_id", "text", K, max_posting=200, max_terms=10, max_pool=100))
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM cosine JOIN c USING (s1_id, s2_id) WHERE score > 0) WHERE rank <= {K}"""
+
+
+#: The limits of masked and blocked retrieval.
+MAX_DF, MAX_POSTING, MAX_TERMS, MAX_POOL = 50_000, 50_000, 10, 2000
+
+
+@query(_masked_sql(MAX_DF))
+def tfidf_masked_topk(t, max_df: int = MAX_DF) -> DataFrame:
+    return _out(_tfidf(t).search(t("benchmark"), "item_id", "text", K, max_df=max_df))
+
 
+@query(_blocked_sql(MAX_POSTING, MAX_TERMS, MAX_POOL))
+def blocked_topk(t, max_posting: int = MAX_POSTING, max_terms: int = MAX_TERMS, max_pool: int = MAX_POOL) -> DataFrame:
+    return _out(_tfidf(t).search_blocked(t("benchmark"), "item_id", "text", K, max_posting, max_terms, max_pool))
 
-@query(f"""WITH {_TFIDF}, z AS (SELECT item_id AS s1_id, doc_id AS s2_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN cosine ON s1_id = item_id AND s2_id = doc_id)
+
+def _padded_sql(score: str) -> str:
+    return f"""z AS (SELECT item_id AS s1_id, doc_id AS s2_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN documents LEFT JOIN {score} ON s1_id = item_id AND s2_id = doc_id)
     SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM z) WHERE rank <= {K}""")
-def word_tfidf_padded_topk(t) -> DataFrame:
-    return _out(_tfidf(t, max_features=200_000).search_padded(t("benchmark"), "item_id", "text", K))
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM z) WHERE rank <= {K}"""
+
+
+#: Features of word and character views.
+WORD_FEATURES, CHAR_FEATURES = 200_000, 300_000
+
+
+def _word_tfidf_sql(max_features: int) -> str:
+    return f"WITH {_tfidf_sql(max_features)}, {_padded_sql('cosine')}"
+
+
+@query(_word_tfidf_sql(WORD_FEATURES))
+def word_tfidf_padded_topk(t, max_features: int = WORD_FEATURES) -> DataFrame:
+    return _out(_tfidf(t, max_features=max_features).search_padded(t("benchmark"), "item_id", "text", K))
 
 
 @query(f"WITH {_BM25A} {_RANKED} bm25a")
@@ -348,24 +415,29 @@ def bm25_b_topk(t) -> DataFrame:
     return _out(_bm25b_found(t))
 
 
-@query(f"WITH {_BM25L} {_RANKED} bm25l")
+@query(f"WITH {_BM25L}, {_padded_sql('bm25ls')}")
 def bm25_library_topk(t) -> DataFrame:
-    return _out(retrieve.Bm25Retriever(t("documents"), "doc_id", "text", T.TOKENIZERS["w2_english"]).search(t("benchmark"), "item_id", "text", K))
+    bm25 = retrieve.Bm25Retriever.fit(t("documents"), "doc_id", "text", T.TOKENIZERS["w2_english"], scaled=False)
+    return _out(bm25.search_padded(t("benchmark"), "item_id", "text", K))
 
 
-@query(f"""
+def _char_sql(max_features: int) -> str:
+    return f"""
     WITH s AS (SELECT s_suppkey AS id, unnest(string_split(lower(s_name), ' ')) AS w FROM supplier), c AS (SELECT c_custkey AS id, unnest(string_split(lower(c_name), ' ')) AS w FROM customer),
     ns AS (SELECT unnest([3, 4, 5]) AS n),
     sg AS (SELECT id, substr(' ' || w || ' ', i, n) AS term, count(*) AS tf FROM s, ns, range(1, 64) r(i) WHERE w <> '' AND i <= length(w) + 3 - n GROUP BY ALL),
     cg AS (SELECT id, substr(' ' || w || ' ', i, n) AS term, count(*) AS tf FROM c, ns, range(1, 64) r(i) WHERE w <> '' AND i <= length(w) + 3 - n GROUP BY ALL),
-    vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM customer)) / (1 + count(*))) + 1 AS idf FROM cg GROUP BY term),
+    vocab AS (SELECT term, ln((1 + (SELECT count(*) FROM customer)) / (1 + count(*))) + 1 AS idf FROM cg GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {max_features}),
     cw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM cg JOIN vocab USING (term)),
     sw AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM sg JOIN vocab USING (term)),
     z AS (SELECT sw.id AS s1_id, cw.id AS s2_id, round(sum(sw.w * cw.w), 9) AS score FROM sw JOIN cw USING (term) GROUP BY ALL)
     SELECT s1_id, s2_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
-        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM z WHERE score > 0) WHERE rank <= {K}""")
-def char_ngram_topk(t) -> DataFrame:
-    found = retrieve.TfidfRetriever(t("customer"), "c_custkey", "c_name", T.TOKENIZERS["char_3_5"], max_features=300_000)
+        SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, s2_id) AS rank FROM z WHERE score > 0) WHERE rank <= {K}"""
+
+
+@query(_char_sql(CHAR_FEATURES))
+def char_ngram_topk(t, max_features: int = CHAR_FEATURES) -> DataFrame:
+    found = retrieve.TfidfRetriever.fit(t("customer"), "c_custkey", "c_name", T.TOKENIZERS["char_3_5"], max_features=max_features)
     return _out(found.search(t("supplier"), "s_suppkey", "s_name", K))
 
 
@@ -459,32 +531,38 @@ def _passage_pairs(t) -> DataFrame:
 _SP = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\s\p{{Z}}]+'), lambda x: x <> ''))"
 _PAIRS = f"pairs AS (SELECT s1_id, s2_id, {_SP.format('b.text')} AS a, {_SP.format('d.text')} AS b, lower(b.text) = lower(d.text) AS same FROM tfidf JOIN benchmark b ON item_id = s1_id JOIN documents d ON doc_id = s2_id)"
 _RECORD_PAIRS = r"""pairs AS (
-        SELECT s_suppkey AS s1_id, c_custkey AS s2_id, lower(s_name) AS n1, lower(c_name) AS n2, lower(a.n_name) || ' ' || s_nationkey AS a1, lower(b.n_name) || ' ' || c_nationkey AS a2,
-               lower(a.n_name) AS k1, lower(b.n_name) AS k2, CAST(s_nationkey AS VARCHAR) AS x1, CAST(c_nationkey AS VARCHAR) AS x2
+        SELECT s_suppkey AS s1_id, c_custkey AS s2_id, lower(s_name) AS n1, lower(c_name) AS n2, CASE WHEN s_suppkey % 5 <> 0 THEN lower(a.n_name) || ' ' || s_nationkey ELSE '' END AS a1,
+               CASE WHEN c_custkey % 5 <> 2 THEN lower(b.n_name) || ' ' || c_nationkey ELSE '' END AS a2,
+               CASE WHEN s_suppkey % 5 <> 1 THEN lower(a.n_name) ELSE '' END AS k1, lower(b.n_name) AS k2
         FROM supplier JOIN customer ON regexp_extract(s_name, '\d+') = regexp_extract(c_name, '\d+') JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey)"""
 
 
 def _record_pairs(t) -> DataFrame:
-    """Suppliers and customers that share the number in their names; nation name and key as address, nation as country."""
+    """Suppliers and customers that share the number in their names; nation name and key as address, nation as country; some are missing."""
     nation = t("nation").select("n_nationkey", F.lower("n_name").alias("country"))
     def side(name: str, prefix: str, key: str, n: int) -> DataFrame:
         rows = t(name).join(nation, F.col(f"{prefix}_nationkey") == F.col("n_nationkey"))
-        addr = F.concat_ws(" ", "country", F.col("n_nationkey").cast("string"))
-        return rows.select(F.col(key).alias(f"s{n}_id"), F.lower(f"{prefix}_name").alias(f"name_{n}"), addr.alias(f"addr_{n}"), F.col("country").alias(f"country_{n}"), F.regexp_extract(f"{prefix}_name", r"\d+", 0).alias("number"))
+        addr = F.when(F.col(key) % 5 != 2 * (n - 1), F.concat_ws(" ", "country", F.col("n_nationkey").cast("string")))
+        country = F.when(F.col(key) % 5 != 1, F.col("country")).otherwise("") if n == 1 else F.col("country")
+        return rows.select(F.col(key).alias(f"s{n}_id"), F.lower(f"{prefix}_name").alias(f"name_{n}"), addr.alias(f"addr_{n}"), country.alias(f"country_{n}"), F.regexp_extract(f"{prefix}_name", r"\d+", 0).alias("number"))
     return side("supplier", "s", "s_suppkey", 1).join(side("customer", "c", "c_custkey", 2), "number").drop("number")
 
 
 @query(f"""WITH {_TFIDF}, {_PAIRS} SELECT s1_id, s2_id, CAST(same AS INTEGER) AS name_exact_match,
-        round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS name_token_jaccard, 1 AS addr_missing, 0 AS name_missing, 1 AS country_missing FROM pairs""")
+        round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS name_token_jaccard, 1 AS addr_missing, CAST(len(a) = 0 OR len(b) = 0 AS INTEGER) AS name_missing, 1 AS country_missing FROM pairs""")
 def passage_evidence(t) -> DataFrame:
     out = evidence.native(_passage_pairs(t))
     return out.select("s1_id", "s2_id", "name_exact_match", r6("name_token_jaccard").alias("name_token_jaccard"), "addr_missing", "name_missing", "country_missing")
 
 
-@query(rf"""WITH {_RECORD_PAIRS} SELECT s1_id, s2_id, CAST(n1 = n2 AS INTEGER) AS name_exact_match, CAST(a1 = a2 AS INTEGER) AS addr_exact_match,
-        round(len(list_intersect(string_split(a1, ' '), string_split(a2, ' '))) / len(list_distinct(list_concat(string_split(a1, ' '), string_split(a2, ' ')))), 6) AS addr_token_jaccard,
-        CAST(x1 = x2 AS INTEGER) AS num_exact_agreement, CAST(x1 = x2 AS INTEGER) AS num_overlap, CAST(x1 <> x2 AS INTEGER) AS num_conflict,
-        CAST(k1 = k2 AS INTEGER) AS country_match, CAST(k1 <> k2 AS INTEGER) AS country_conflict, 0 AS name_missing, 0 AS addr_missing, 0 AS country_missing FROM pairs""")
+@query(rf"""WITH {_RECORD_PAIRS}, p AS (SELECT *, list_distinct(regexp_extract_all(a1, '\d+')) AS x1, list_distinct(regexp_extract_all(a2, '\d+')) AS x2,
+        {_SP.format('a1')} AS t1, {_SP.format('a2')} AS t2 FROM pairs)
+    SELECT s1_id, s2_id, CAST(n1 <> '' AND n1 = n2 AS INTEGER) AS name_exact_match, CAST(a1 <> '' AND a1 = a2 AS INTEGER) AS addr_exact_match,
+        CASE WHEN len(list_concat(t1, t2)) = 0 THEN 0 ELSE round(len(list_intersect(t1, t2)) / len(list_distinct(list_concat(t1, t2))), 6) END AS addr_token_jaccard,
+        CAST(len(x1) > 0 AND len(x2) > 0 AND len(list_intersect(x1, x2)) = len(x1) AND len(x1) = len(x2) AS INTEGER) AS num_exact_agreement,
+        CAST(len(list_intersect(x1, x2)) > 0 AS INTEGER) AS num_overlap, CAST(len(x1) > 0 AND len(x2) > 0 AND len(list_intersect(x1, x2)) = 0 AS INTEGER) AS num_conflict,
+        CAST(k1 <> '' AND k1 = k2 AS INTEGER) AS country_match, CAST(k1 <> '' AND k2 <> '' AND k1 <> k2 AS INTEGER) AS country_conflict,
+        CAST(n1 = '' OR n2 = '' AS INTEGER) AS name_missing, CAST(a1 = '' OR a2 = '' AS INTEGER) AS addr_missing, CAST(k1 = '' OR k2 = '' AS INTEGER) AS country_missing FROM p""")
 def record_evidence(t) -> DataFrame:
     out = evidence.native(_record_pairs(t)).withColumn("addr_token_jaccard", r6("addr_token_jaccard"))
     return out.select("s1_id", "s2_id", "name_exact_match", "addr_exact_match", "addr_token_jaccard", "num_exact_agreement", "num_overlap", "num_conflict", "country_match", "country_conflict", "name_missing", "addr_missing", "country_missing")
@@ -525,7 +603,7 @@ def evidence_dataset(t) -> DataFrame:
         rows = t(name).join(nation, F.col(f"{prefix}_nationkey") == F.col("n_nationkey"))
         return rows.select(F.col(key).alias("entity_id"), F.lower(f"{prefix}_name").alias("name"), F.concat_ws(" ", "country", F.col("n_nationkey").cast("string")).alias("addr"), "country")
     left, right = records("supplier", "s", "s_suppkey"), records("customer", "c", "c_custkey")
-    found = retrieve.TfidfRetriever(right, "entity_id", "name", T.TOKENIZERS["w2"]).search(left, "entity_id", "name", K)
+    found = retrieve.TfidfRetriever.fit(right, "entity_id", "name", T.TOKENIZERS["w2"]).search(left, "entity_id", "name", K)
     return evidence.dataset(found, left, right, index.evidence_idf(right, "entity_id", T.space_tokens(F.col("name")))).drop("name_1", "name_2")
 
 
@@ -567,7 +645,7 @@ def hard_negatives(t) -> DataFrame:
     return decide.hard_negatives(_scored(t)).select("s1_id", "s2_id", r6("pred").alias("pred"))
 
 
-@query()
+@query(f"WITH {_SCORED} SELECT s1_id, s2_id, CAST(CAST('0x' || substr(md5(CAST(s1_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM scored")
 def group_folds(t) -> DataFrame:
     return decide.with_fold(_scored(t)).select("s1_id", "s2_id", "fold")
 
@@ -588,20 +666,22 @@ def f05_sweep(t) -> DataFrame:
     return out.select("threshold", r6("f05").alias("f05"))
 
 
-def _trained(t) -> DataFrame:
+def _trained(t, rounds: int, depth: int) -> DataFrame:
+    """Predictions with the fold of each row: the matcher is validated on fold 0 and learns from the others."""
     rows = compete.competition(_scored(t), "rrf_score").fillna(0.0)
     names = ["rrf_score", "score", "num_views", "fused_rank", "candidate_rank", "top1_top2_margin", "mean_top3"]
-    return decide.predict(decide.fit_matcher(rows.drop("pred"), names, rounds=10, depth=3), rows.drop("pred"))
+    rows = stored(rows.drop("pred"), "matcher-rows")
+    return decide.with_fold(decide.predict(decide.fit_matcher(rows, names, rounds, depth), rows))
 
 
 @query()
-def gbt_matcher(t) -> DataFrame:
-    return _trained(t).select("s1_id", "s2_id", "label", r6("pred").alias("pred"))
+def gbt_matcher(t, rounds: int = 60, depth: int = 5) -> DataFrame:
+    return _trained(t, rounds, depth).select("s1_id", "s2_id", "fold", "label", r6("pred").alias("pred"))
 
 
 @query()
 def calibrated_scores(t) -> DataFrame:
-    return decide.calibrate(_scored(t)).select("s1_id", "s2_id", "label", r6("calibrated").alias("calibrated"))
+    return decide.calibrate(_scored(t)).select("s1_id", "s2_id", "fold", "label", r6("calibrated").alias("calibrated"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -666,21 +746,49 @@ def topk_overlap_by_size(t) -> DataFrame:
 
 
 _TOKS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN (" + _STOP + ")))"
+#: SQL: true pairs that the first five candidates do not hold.
+_MISSED = f"{_TFIDF}, {_TRUTH}, missed AS (SELECT DISTINCT t.s1_id, t.s2_id FROM truth t ANTI JOIN (SELECT * FROM tfidf WHERE rank <= 5) f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id)"
 
 
-@query(f"""WITH {_TFIDF}, {_TRUTH}, {_HELD}, m AS (SELECT t.s1_id, t.s2_id FROM truth t SEMI JOIN corpus USING (s2_id) ANTI JOIN (SELECT * FROM tfidf WHERE rank <= 5) f ON f.s1_id = t.s1_id AND f.s2_id = t.s2_id)
-    SELECT s1_id, s2_id FROM m""")
+def _category_sql(src: str, keys: str) -> str:
+    """SQL: keys and category of the rows (keys, n1, n2, a1, a2) of src. Separators are doubled before whole words go, which keeps texts apart that were apart."""
+    jac = lambda a, b: f"(CASE WHEN len(list_concat({a}, {b})) = 0 THEN 0 ELSE len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) END)"
+    bare = lambda x: rf"trim(regexp_replace(' ' || regexp_replace({x}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') || ' ', '([^\p{{L}}\p{{N}}_])(?:{T.LEGAL_WORDS})([^\p{{L}}\p{{N}}_])', '\1\2', 'g'))"
+    split = lambda x: rf"list_filter(regexp_split_to_array({x}, '[\s\p{{Z}}]+'), lambda x: x <> '')"
+    return rf"""SELECT {keys}, CASE WHEN n1 = '' OR n2 = '' THEN 'name_missing' WHEN n1 = n2 THEN 'exact_name' WHEN len(t1) = 0 OR len(t2) = 0 THEN 'name_missing'
+        WHEN {bare('n1')} = {bare('n2')} THEN 'legal_suffix_variation' WHEN regexp_matches(n1, '\p{{Nd}}') OR regexp_matches(n2, '\p{{Nd}}') THEN 'numeric_identifier'
+        WHEN {jac('t1', 't2')} >= 0.5 AND len(list_intersect(t1, t2)) = len(t1) AND len(t1) = len(t2) AND {split('n1')} <> {split('n2')} THEN 'token_order_variation'
+        WHEN {jac('t1', 't2')} >= 0.5 THEN 'partial_name_overlap' WHEN {jac('c1', 'c2')} > 0.7 THEN 'spelling_variation'
+        WHEN a1 <> '' AND a2 <> '' AND {jac('u1', 'u2')} > 0.3 THEN 'address_dependent' WHEN a1 = '' OR a2 = '' THEN 'name_and_address_weak' ELSE 'other' END AS category
+    FROM (SELECT *, {_TOKS.format('n1')} AS t1, {_TOKS.format('n2')} AS t2, {_TOKS.format('a1')} AS u1, {_TOKS.format('a2')} AS u2,
+        list_distinct(string_split(n1, '')) AS c1, list_distinct(string_split(n2, '')) AS c2 FROM {src})"""
+
+
+@query(f"WITH {_MISSED} SELECT s1_id, s2_id FROM missed")
 def missed_pairs(t) -> DataFrame:
-    return evaluate.missed_pairs(_truth(t), _tfidf_found(t), _held(t), 5)
+    return evaluate.missed_pairs(_truth(t), _tfidf_found(t), _searched(t), 5)
+
 
+#: Names that no number sets apart: part names against part names of the same brand, whose words overlap, and customers' segments against their nations.
+_NAMES = """names AS (SELECT a.p_partkey AS s1_id, b.p_partkey AS s2_id, a.p_name AS n1, b.p_name AS n2, a.p_type AS a1, CASE WHEN b.p_size % 4 <> 0 THEN b.p_type ELSE '' END AS a2
+        FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
+        UNION ALL SELECT -1, c_custkey, name, c_name, address, address FROM records JOIN customer USING (c_custkey)
+        UNION ALL SELECT -2, c_custkey, lower(c_mktsegment), lower(c_mktsegment) || ' llc', '', '' FROM customer)"""
 
-@query(rf"""WITH {_RECORD_PAIRS} SELECT s1_id, s2_id, CASE WHEN n1 = n2 THEN 'exact_name' WHEN regexp_matches(n1, '\d') OR regexp_matches(n2, '\d') THEN 'numeric_identifier' ELSE 'other' END AS category FROM pairs""")
+
+@query(f"WITH {_CUSTOMERS}, {_NAMES}, low AS (SELECT s1_id, s2_id, lower(n1) AS n1, lower(n2) AS n2, lower(coalesce(a1, '')) AS a1, lower(coalesce(a2, '')) AS a2 FROM names) {_category_sql('low', 's1_id, s2_id')}")
 def failure_categories(t) -> DataFrame:
-    c = evaluate.failure_category(*(F.col(x) for x in ("name_1", "name_2", "addr_1", "addr_2")))
-    return _record_pairs(t).select("s1_id", "s2_id", c.alias("category"))
+    part = lambda n: t("part").select(F.col("p_partkey").alias(f"s{n}_id"), F.col("p_name").alias(f"n{n}"), F.col("p_type").alias(f"a{n}"), "p_brand", "p_size")
+    parts = part(1).join(part(2), ["p_brand", "p_size"]).where("s1_id < s2_id").withColumn("a2", F.when(F.col("p_size") % 4 != 0, F.col("a2")).otherwise(""))
+    made = _customer_records(t).join(t("customer").select("c_custkey", "c_name"), "c_custkey").selectExpr("-1L AS s1_id", "c_custkey AS s2_id", "name AS n1", "c_name AS n2", "address AS a1", "address AS a2")
+    forms = t("customer").selectExpr("-2L AS s1_id", "c_custkey AS s2_id", "c_mktsegment AS n1", "concat(c_mktsegment, ' llc') AS n2", "'' AS a1", "'' AS a2")
+    rows = parts.select(*made.columns).union(made).union(forms)
+    return rows.select("s1_id", "s2_id", evaluate.failure_category(*(F.lower(c) for c in ("n1", "n2", "a1", "a2"))).alias("category"))
 
 
-@query()
+@query(f"""WITH {_MISSED}, low AS (SELECT s1_id, s2_id, lower(b.text) AS n1, lower(d.text) AS n2, '' AS a1, coalesce(d.source, '') AS a2
+        FROM missed JOIN benchmark b ON item_id = s1_id JOIN documents d ON doc_id = s2_id)
+    SELECT category, count(*) AS n FROM ({_category_sql('low', 's1_id')}) GROUP BY category""")
 def failure_histogram(t) -> DataFrame:
     """Why passages' true documents were missed: counts by category."""
     texts = t("documents").select(F.col("doc_id").alias("s2_id"), F.col("text").alias("n2"), F.col("source").alias("a2"))
@@ -690,7 +798,9 @@ def failure_histogram(t) -> DataFrame:
     return rows.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_MISSED}, one AS (SELECT s1_id, min(s2_id) AS s2_id FROM missed GROUP BY s1_id ORDER BY s1_id LIMIT 20),
+    top AS (SELECT s1_id, string_agg(md5(text), ' | ' ORDER BY rank) AS top_names FROM tfidf JOIN documents ON doc_id = s2_id WHERE rank <= 5 GROUP BY s1_id)
+    SELECT s1_id, s2_id, top_names FROM one LEFT JOIN top USING (s1_id)""")
 def failure_examples(t) -> DataFrame:
     names = t("documents").select(F.col("doc_id").alias("s2_id"), F.md5("text").alias("name"))
     found = _tfidf_found(t)

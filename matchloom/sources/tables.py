@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.retrieve import Retriever
+
 RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 TRUTH = T.StructType([T.StructField(c, T.StringType()) for c in ("source1_entity_id", "matched_entity_ids")])
 #: Fields that a well-known reader takes for missing.
@@ -69,16 +71,14 @@ def convert(df: DataFrame, transform, path: str) -> dict[str, int]:
     return dict(seen.get)
 
 
-def save_index(retriever, path: str) -> None:
+def save_index(retriever: Retriever, path: str) -> None:
     """A fitted index as Parquet tables."""
-    retriever.weights.write.mode("overwrite").parquet(f"{path}/weights")
-    retriever.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    retriever.save(path)
 
 
-def load_index(spark: SparkSession, retriever, path: str):
-    """The retriever with its index read back; its tokenizer and settings must be those of the saved one."""
-    retriever.weights, retriever.vocab = spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/vocab")
-    return retriever
+def load_index(spark: SparkSession, kind: type[Retriever], path: str, tokenizer) -> Retriever:
+    """A saved index of a kind (TfidfRetriever, Bm25Retriever), ready to search without fitting; its tokenizer must be the one it was made with."""
+    return kind.load(spark, path, tokenizer)
 
 
 def write_submission(matches: DataFrame, candidates: DataFrame, every: DataFrame, path: str) -> None:
@@ -89,7 +89,11 @@ def write_submission(matches: DataFrame, candidates: DataFrame, every: DataFrame
     if matches.columns != ["source1_entity_id", "matched_entity_ids"] or candidates.columns != ["source1_entity_id", "candidate_entity_ids"]:
         raise ValueError("unexpected columns in a submission")
     rows, ids = matches.agg(F.count("*"), F.count_distinct("source1_entity_id")).first()
-    if rows != ids or rows != every.count():
+    wanted = every.select(F.col("s1_id").alias("source1_entity_id"))
+    for name, table in (("matches", matches), ("candidates", candidates)):
+        if not table.join(wanted, "source1_entity_id", "left_anti").isEmpty():
+            raise ValueError(f"{name} have ids that the clean source has not")
+    if rows != ids or not wanted.join(matches, "source1_entity_id", "left_anti").isEmpty():
         raise ValueError("a submission has one row for each record of the clean source")
     own = matches.join(candidates, "source1_entity_id", "left")
     split = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: x != "")

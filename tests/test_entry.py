@@ -9,7 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from matchloom.functions.text import TOKENIZERS
+from matchloom.operators.retrieve import Bm25Retriever, TfidfRetriever
 from matchloom.plans import registry
+from matchloom.plans.matching import Matching
 from matchloom.sources import tables as S
 from matchloom.streaming import records
 
@@ -55,11 +58,28 @@ def test_oracle(spark, sf, duck, name):
     assert plain(got, columns) == plain(expected, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"gbt_matcher"}))
 def test_queries_without_oracle_run(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() >= 0
 
 
+def test_matcher_query(spark, sf):
+    got = registry.queries()["gbt_matcher"](spark, sf, rounds=3, depth=2).collect()
+    assert got and all(0 <= r.pred <= 1 and r.fold in range(5) for r in got)
+
+
+@pytest.mark.parametrize("name, settings, sql", [
+    ("tfidf_masked_topk", {"max_df": 60}, registry._masked_sql(60)), ("blocked_topk", {"max_posting": 20, "max_terms": 4, "max_pool": 15}, registry._blocked_sql(20, 4, 15)),
+    ("word_tfidf_padded_topk", {"max_features": 500}, registry._word_tfidf_sql(500)), ("char_ngram_topk", {"max_features": 40}, registry._char_sql(40)),
+])
+def test_limits_that_bind(spark, sf, duck, name, settings, sql):
+    """The registered limits are the production ones, idle on small tables; here smaller ones act."""
+    got, expected = registry.queries()[name](spark, sf, **settings).toPandas(), duck.sql(sql).df()
+    idle = duck.sql(registry.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert plain(got, columns) == plain(expected, columns) != plain(idle, columns)
+
+
 def test_tsv_round_trip(spark, tmp_path):
     rows = [("S1-1", "NA", 'a "quoted" name', "US"), ("S1-2", None, "x", None)]
     df = spark.createDataFrame(rows, S.RECORD)
@@ -92,18 +112,47 @@ def test_submission(spark, tmp_path):
         S.write_submission(matches, bad, every, str(tmp_path / "out2"))
     with pytest.raises(ValueError):
         S.write_submission(matches.limit(1), good, every, str(tmp_path / "out3"))
-
-
-def test_index_is_saved_and_loaded(spark, tables, tmp_path):
-    from matchloom.functions.text import TOKENIZERS
-    from matchloom.operators.retrieve import TfidfRetriever
-
-    parts = tables("part").select("p_partkey", "p_name").limit(50)
-    fitted = TfidfRetriever(parts, "p_partkey", "p_name", TOKENIZERS["w2"])
-    before = sorted(map(tuple, fitted.search(parts, "p_partkey", "p_name", 3).collect()))
-    S.save_index(fitted, str(tmp_path / "i"))
-    after = S.load_index(spark, fitted, str(tmp_path / "i")).search(parts, "p_partkey", "p_name", 3)
-    assert sorted(map(tuple, after.collect())) == before
+    swapped = spark.createDataFrame([("a", "x"), ("c", "")], S.TRUTH)
+    with pytest.raises(ValueError, match="ids that the clean source has not"):
+        S.write_submission(swapped, good, every, str(tmp_path / "out4"))
+    with pytest.raises(ValueError, match="candidates"):
+        S.write_submission(matches, good.union(spark.createDataFrame([("c", "x")], good.schema)), every, str(tmp_path / "out5"))
+
+
+def test_matching_from_sources_to_submission(spark, tmp_path):
+    """Noisy copies of businesses are found again; a second run takes up what the first one left."""
+    kinds, places = ["bakery", "garage", "books", "clinic", "studio"], ["oak", "elm", "mill", "lake", "hill", "north"]
+    names = [(f"{a} {p} {k}{i}", f"{i + 10} {p} st", "US") for i, (a, p, k) in enumerate((a, p, k) for a in ("red", "blue", "old") for p in places for k in kinds)]
+    clean = [(f"A-{i}", n.title(), a, c) for i, (n, a, c) in enumerate(names)]
+    other = [(f"B-{i}", f"{n} Inc", a.replace(" st", " Street"), "us") for i, (n, a, c) in enumerate(names)] + [(f"C-{i}", n.upper(), None, c) for i, (n, a, c) in enumerate(names) if i % 3 == 0]
+    truth = [(f"A-{i}", ",".join([f"B-{i}", *([f"C-{i}"] if i % 3 == 0 else [])])) for i in range(len(names))]
+    make = lambda rows: spark.createDataFrame(rows, S.RECORD)
+    job = Matching(make(clean), [make([x for x in other if x[0][0] == y]) for y in "BC"], str(tmp_path), spark.createDataFrame(truth, S.TRUTH), k=5, matcher={"rounds": 5, "depth": 3})
+    matches = job.run()
+    got = {r.source1_entity_id: set(filter(None, r.matched_entity_ids.split(","))) for r in matches.collect()}
+    want = {a: set(b.split(",")) for a, b in truth}
+    hit, given, real = sum(len(got[a] & want[a]) for a in want), sum(map(len, got.values())), sum(map(len, want.values()))
+    assert set(got) == set(want) and hit >= 0.9 * given and hit >= 0.8 * real
+    assert S.read_tsv(spark, str(tmp_path / "submission/matches"), S.TRUTH).count() == len(clean)
+    assert (tmp_path / "features/_SUCCESS").exists() and spark.read.parquet(str(tmp_path / "audit")).count() == 3
+    again = Matching(make(clean), [make(other)], str(tmp_path), None, k=5).run("predict")
+    assert {r.source1_entity_id: r.matched_entity_ids for r in again.collect()} == {r.source1_entity_id: r.matched_entity_ids for r in matches.collect()}
+    with pytest.raises(ValueError, match="needs a truth"):
+        Matching(make(clean), [make(other)], str(tmp_path / "none")).train()
+
+
+def test_index_is_saved_and_loaded_without_fitting(spark, tables, tmp_path):
+    parts = tables("part").select("p_partkey", "p_name").limit(50).cache()
+    words = TOKENIZERS["w2"]
+    for i, fitted in enumerate([
+        TfidfRetriever.fit(parts, "p_partkey", "p_name", words),
+        Bm25Retriever.fit(parts, "p_partkey", "p_name", words, query_stop=["green"], max_posting=9), Bm25Retriever.fit(parts, "p_partkey", "p_name", words),
+    ]):
+        S.save_index(fitted, str(tmp_path / str(i)))
+        loaded = S.load_index(spark, type(fitted), str(tmp_path / str(i)), words)
+        for search in ("search", "search_padded"):
+            before, after = (sorted(map(tuple, getattr(x, search)(parts, "p_partkey", "p_name", 3).collect())) for x in (fitted, loaded))
+            assert before == after
 
 
 def test_conversion_counts(spark, tmp_path):

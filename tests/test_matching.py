@@ -1,6 +1,7 @@
 """Retrieval, fusion, evidence, competition and decision against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -54,7 +55,7 @@ def frames(spark):
 
 def test_tfidf_variants(frames):
     docs, asked = frames
-    r = retrieve.TfidfRetriever(docs, "id", "text", T.TOKENIZERS["w2"])
+    r = retrieve.TfidfRetriever.fit(docs, "id", "text", T.TOKENIZERS["w2"])
     scores = plain_tfidf(DOCS, ASKED)
     assert rows(r.search(asked, "id", "text", 3)) == ranked(scores, 3)
     assert rows(r.search(asked, "id", "text", 3, max_df=99)) == ranked(scores, 3)
@@ -66,7 +67,7 @@ def test_tfidf_variants(frames):
 
 def test_blocking_limits(frames):
     docs, asked = frames
-    r = retrieve.TfidfRetriever(docs, "id", "text", T.TOKENIZERS["w2"])
+    r = retrieve.TfidfRetriever.fit(docs, "id", "text", T.TOKENIZERS["w2"])
     posts = {}
     for d, x in DOCS.items():
         for t in set(toks(x)):
@@ -101,10 +102,61 @@ def test_bm25(frames):
             hit = [t for t in set(toks(x)) if tf[t] and 2 <= df[t] <= 3]
             if hit:
                 scores[q, d] = sum(math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * dl / mean)) for t in hit)
-    found = retrieve.Bm25Retriever(docs, "id", "text", T.TOKENIZERS["w2"], min_df=2, max_df=3).search(asked, "id", "text", 4)
+    found = retrieve.Bm25Retriever.fit(docs, "id", "text", T.TOKENIZERS["w2"], min_df=2, max_df=3).search(asked, "id", "text", 4)
     assert rows(found) == ranked(scores, 4)
 
 
+def test_library_bm25_is_padded_and_unscaled(frames):
+    docs, asked = frames
+    found = retrieve.Bm25Retriever.fit(docs, "id", "text", T.TOKENIZERS["w2"], scaled=False)
+    full = {(r.s1_id, r.s2_id): r.score for r in retrieve.Bm25Retriever.fit(docs, "id", "text", T.TOKENIZERS["w2"]).search(asked, "id", "text", 9).collect()}
+    for k in (3, 7, 8, 20):
+        got = found.search_padded(asked, "id", "text", k).collect()
+        for q in ASKED:
+            own = sorted((r["rank"], r.s2_id, r.score) for r in got if r.s1_id == q)
+            scores = {d: full.get((q, d), 0.0) / 2.5 for d in DOCS}
+            order = sorted(DOCS, key=lambda d: (-round(scores[d], 9), d))[:k]
+            assert [d for _, d, _ in own] == order and [x for *_, x in own] == pytest.approx([scores[d] for d in order])
+
+
+def test_features_are_those_used_most_often(spark):
+    """`often` stands in one record only, but more times than any other term."""
+    docs = spark.createDataFrame([(1, "often often often often often rare"), (2, "common two"), (3, "common two"), (4, "common")], "id long, text string")
+    kept = retrieve.TfidfRetriever.fit(docs, "id", "text", T.TOKENIZERS["w2"], max_features=2).vocab
+    assert {r.term for r in kept.collect()} == {"often", "common"}
+    by_df = retrieve.Bm25Retriever.fit(docs, "id", "text", T.TOKENIZERS["w2"], max_features=2).vocab
+    assert {r.term for r in by_df.collect()} == {"common", "two"}
+
+
+@pytest.mark.parametrize("k, seed", [(1, 1), (5, 1), (5, 20), (40, 3)])
+def test_pruned_search_equals_all_pairs(spark, monkeypatch, k, seed):
+    """Skewed terms, so that most queries leave frequent terms aside; ties included."""
+    monkeypatch.setattr(retrieve, "SEED_POSTINGS", seed)
+    rng = random.Random(3)
+    term = lambda: f"t{min(int(rng.paretovariate(0.6)), 300)}"
+    docs = {i: " ".join(term() for _ in range(rng.randint(1, 30))) for i in range(300)} | {1000 + i: "t1 t2 t250" for i in range(50)}
+    asked = {i: " ".join(term() for _ in range(rng.randint(1, 12))) for i in range(40)}
+    make = lambda x: spark.createDataFrame(list(x.items()), "id long, text string")
+    for found, unit in ((retrieve.TfidfRetriever, True), (retrieve.Bm25Retriever, False)):
+        r = found.fit(make(docs), "id", "text", T.TOKENIZERS["w2"])
+        q = r.transform(make(asked), "id", "text") if unit else index.postings(make(asked), "id", T.tokens(F.col("text"), 2)).select("id", "term", F.lit(1.0).alias("weight"))
+        whole = retrieve.top_k(retrieve.sum_products(q, r.weights).where("score > 0"), k)
+        assert rows(retrieve.search_pruned(q, r.weights, k, unit)) == rows(whole)
+
+
+def test_encoder_makes_unit_vectors(spark):
+    df = spark.createDataFrame([(1, "aab"), (2, " "), (3, None), (4, "b")], "id long, text string")
+    count = lambda: lambda texts: [[float(x.count(c)) for c in "ab"] for x in texts]
+    got = {r.id: r.v for r in retrieve.encode(df, "id", "text", count).collect()}
+    assert got == {1: pytest.approx([2 / 5**0.5, 1 / 5**0.5]), 4: [0.0, 1.0]}
+    assert rows(retrieve.dense(retrieve.encode(df, "id", "text", count), retrieve.encode(df, "id", "text", count), 1))[0][:3] == (1, 1, 1)
+
+    def absent():
+        raise ImportError("no such model")
+
+    assert retrieve.encode(df, "id", "text", absent).count() == 0
+
+
 def test_top_k_merge_sample(spark):
     indptr, ids = [0, 2, 5, 5, 7, 10], [10, 20, 10, 30, 40, 50, 60, 10, 50, 99]
     data = [0.5, 0.8, 0.2, 0.9, 0.1, 0.6, 0.7, 0.3, 0.4, 0.99]
@@ -124,7 +176,8 @@ def test_dense(spark):
 
 def test_plan_has_group_limit_and_no_cross_join(frames):
     docs, asked = frames
-    found = retrieve.TfidfRetriever(docs, "id", "text", T.TOKENIZERS["w2"]).search(asked, "id", "text", 3)
+    weights = retrieve.TfidfRetriever.fit(docs, "id", "text", T.TOKENIZERS["w2"])
+    found = weights.search(asked, "id", "text", 3)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "Python" not in plan
 
@@ -157,6 +210,19 @@ def test_ratios():
     assert fuzzy.ratio("this is a test", "this is a test!") == 0.97
     assert fuzzy.token_sort("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 1.0
     assert fuzzy.token_set("fuzzy fuzzy was a bear", "fuzzy was a bear") == 1.0 and fuzzy.token_set("", "x") == 0.0
+    # processing: case and punctuation do not count, nor characters of the upper half of Latin-1
+    assert fuzzy.token_sort("Supplier#0001, Inc.", "inc supplier 0001") == 1.0 and fuzzy.token_set("A-B", "b a c") == 1.0
+    assert fuzzy.token_sort("café", "caf") == 1.0 and fuzzy.ratio("A", "a") == 0.0
+    assert fuzzy.token_sort("--", "??") == 1.0 and fuzzy.token_set("--", "??") == 0.0
+
+
+def test_ratios_in_one_pass_equal_single_ones(spark):
+    texts = ["Acme, Ltd", "acme ltd", "", "x#1 y", "Y x 1", "éa", None]
+    df = spark.createDataFrame([(a, b, b, a) for a in texts for b in texts], "a string, b string, c string, d string").na.fill("")
+    got = df.select("a", "b", fuzzy.ratios(*(F.col(c) for c in "abcd")).alias("r")).collect()
+    for a, b, r in got:
+        names = (fuzzy.ratio(a, b), fuzzy.token_set(a, b), fuzzy.token_sort(a, b)) if a and b else (0.0, 0.0, 0.0)
+        assert tuple(r) == (*names, fuzzy.token_set(b, a) if a and b else 0.0)
 
 
 def test_evidence(spark):
@@ -235,3 +301,25 @@ def test_recalls(spark):
 def test_failure_categories(spark, pair, category):
     df = spark.createDataFrame([pair], "a string, b string, c string, d string")
     assert df.select(evaluate.failure_category(*(F.col(c) for c in "abcd"))).first()[0] == category
+
+
+def test_calibration_and_matcher_keep_folds_apart(spark, tmp_path):
+    rng = random.Random(1)
+    rows_ = [(q, c, rng.random()) for q in range(60) for c in range(6)]
+    df = spark.createDataFrame([(q, c, x, int(x + rng.gauss(0, 0.2) > 0.6)) for q, c, x in rows_], "s1_id long, s2_id long, pred double, label int")
+    got = decide.calibrate(df).collect()
+    assert len(got) == len(rows_) and {r.fold for r in got} == set(range(5)) and all(0 <= r.calibrated <= 1 for r in got)
+    # labels of a fold's own rows play no part in its calibration
+    own = F.col("s1_id").isin([r.s1_id for r in got if r.fold == 2])
+    other = decide.calibrate(df.withColumn("label", F.when(own, 1 - F.col("label")).otherwise(F.col("label")))).where("fold = 2").collect()
+    assert {(r.s1_id, r.s2_id, r.calibrated) for r in other} == {(r.s1_id, r.s2_id, r.calibrated) for r in got if r.fold == 2}
+    model = decide.fit_matcher(df.withColumnRenamed("pred", "x"), ["x"], rounds=3, depth=2)
+    decide.save_matcher(model, str(tmp_path / "m"))
+    again = decide.predict(decide.load_matcher(str(tmp_path / "m")), df.withColumnRenamed("pred", "x"))
+    plain = decide.predict(model, df.withColumnRenamed("pred", "x"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_measured_runs(spark):
+    run = evaluate.measured(lambda: spark.range(100), 50)
+    assert run.rows == 100 and run.seconds > 0 and run.qps == pytest.approx(50 / run.seconds) and run.heap_mb > 1 and run.python_mb > 1
