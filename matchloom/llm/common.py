@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import discard, spread, stored, stored_at
 
 #: Size of a key filter as a power of two, in bits: smallest, largest; and bits for each key until the largest is reached.
 FILTER_POWERS, FILTER_BITS = (15, 28), 16
 #: A key is hot if it holds more than one in so many of all rows; so there are no more hot keys than this.
 HOT_SHARE = 10_000
 
+__all__ = ["discard", "stored", "stored_at"]
+
 #: Lower-cases A-Z and nothing else, on UTF-8 bytes.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -28,43 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, in_order: bool = False) -
     return df if in_order else spread(df)
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors that the session names; a temporary one only where driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{tempfile.gettempdir()}/checkpoints/matchloom"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    return stored_at(df, label)[0]
-
-
-def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """The table and its folder, which goes at the end of the driver unless it is discarded before."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p, fs = folder(spark, path)
-    fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def folder(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table that stored_at wrote and no plan reads any more."""
-    p, fs = folder(spark, path)
-    fs.delete(p, True)
-    fs.cancelDeleteOnExit(p)
-
-
 def smallest_by_hash(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """The rows of smallest key hash, at most `rows`: a sample that any rerun repeats.
 
@@ -101,13 +63,13 @@ def key_filter(keys: DataFrame, column: str) -> KeyFilter:
     return KeyFilter(parts, power)
 
 
-def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
-    """rows joined with a table of one row a key, whose column n counts the rows of the key.
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame:
+    """rows joined with a table of one row a key, whose column n counts the rows of the key among `total` rows (if not given, those of `rows`).
 
-    Keys with over one in HOT_SHARE of all rows, HOT_SHARE keys at most, are joined by broadcast, so no task gathers the rows of one. rows and table are read more than
-    once: both should be stored.
+    Keys with over one in HOT_SHARE of all rows, HOT_SHARE keys at most, are joined by broadcast, so no task gathers the rows of one. rows and table are read
+    twice: both should be stored, or cheap to make.
     """
-    bound = -(-rows.count() // HOT_SHARE)
+    bound = -(-(rows.count() if total is None else total) // HOT_SHARE)
     hot = F.broadcast(table.where(F.col(n) > bound))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(n) <= bound), keys)
     return rows.join(hot, keys).union(rest)
