@@ -227,7 +227,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_word
     judged, judged_path = stored_at(search_shards(distinct, window).where("mask <> 0 or first < last"), "judged-runs")
     del distinct, found
     release(spark)
-    met = hot_join(runs.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows"), judged, ["k1", "k2"])
+    wanted = key_filter(judged.select("k1"), "k1")  # of runs that some document loses
+    met = wanted.keep(runs.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows"), F.col("k1"))
+    met = hot_join(met, judged, ["k1", "k2"], total=runs.count())
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("windows")) - 1
     mask = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("mask"))
     gone = met.select("doc_id", "th", "start", mask.alias("mask")).where("mask <> 0")
