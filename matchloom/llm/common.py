@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import discard, spread, stored, stored_at
 
 #: Size of a key filter as a power of two, in bits: smallest, largest; and bits for each key until the largest is reached.
-FILTER_POWERS, FILTER_BITS = (15, 28), 16
+FILTER_POWERS, FILTER_BITS = (15, 28), 8
 #: A key is hot if it holds more than one in so many of all rows; so there are no more hot keys than this.
 HOT_SHARE = 10_000
 

@@ -43,7 +43,7 @@ class FmIndex:
             ahead = np.zeros(n, dtype=np.int64)
             ahead[: n - step] = rank[step:] + 1
             key = rank * (int(rank.max()) + 2) + ahead
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)  # ties are equal so far, and no two suffixes stay equal
             sorted_ = key[order]
             new = np.empty(n, dtype=np.int64)
             new[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])

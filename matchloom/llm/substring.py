@@ -37,12 +37,55 @@ MAX_SHARED, BITMAP_BITS, BITMAP_POWERS = 1 << 23, 32, (16, 28)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def window_minima(ws: list[bytes], window: int, gram: int) -> np.ndarray:
+class Line:
+    """The words of a text joined by one space, and where each starts and stops."""
+
+    def __init__(self, text: str):
+        self.text = b" ".join(text.encode().split())
+        raw = np.frombuffer(self.text, dtype=np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        self.starts = np.concatenate([[0], gaps + 1]) if len(raw) else np.empty(0, dtype=np.int64)
+        self.stops = np.append(gaps, len(raw)) if len(raw) else self.starts
+
+    def part(self, start: int, stop: int) -> bytes:
+        return self.text[self.starts[start] : self.stops[stop - 1]]
+
+    def hashes(self) -> np.ndarray:
+        """A hash of each word: a polynomial of its bytes, from sums over blocks of the line; words over LONG_WORD bytes by XXH64."""
+        out, at = np.empty(len(self.starts), dtype=np.uint64), 0
+        while at < len(out):
+            first = self.starts[at]
+            upto = max(at + 1, int(np.searchsorted(self.stops, first + LINE_BLOCK, side="right")))
+            here = slice(at, upto)
+            if self.stops[upto - 1] - first <= LINE_BLOCK:
+                raw = np.frombuffer(self.text, dtype=np.uint8, count=self.stops[upto - 1] - first, offset=first)
+                sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * POWERS[: len(raw)], dtype=np.uint64)])
+                a, b = self.starts[here] - first, self.stops[here] - first
+                out[here] = (sums[b] - sums[a]) * BACK[a]
+            for i in np.flatnonzero(self.stops[here] - self.starts[here] > LONG_WORD) + at:
+                out[i] = xxhash.xxh64_intdigest(self.part(i, i + 1))
+            at = upto
+        return (out ^ (out >> np.uint64(32))) * MIX
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo 2 ** 64."""
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+#: Bytes that are summed at once, and of a word from which it is hashed on its own.
+LINE_BLOCK, LONG_WORD = 1 << 18, 64
+BASE = 0x9E3779B97F4A7C15
+POWERS, BACK = powers(BASE, LINE_BLOCK), powers(pow(BASE, -1, 1 << 64), LINE_BLOCK)
+
+
+def window_minima(line: Line, window: int, gram: int) -> np.ndarray:
     """The minimizer of every window of the words."""
-    if len(ws) < window:
+    if len(line.starts) < window:
         return np.empty(0, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w) for w in ws], dtype=np.uint64)
+    h = line.hashes()
     n = len(h) - gram + 1
     g = h[:n].copy()
     for i in range(1, gram):
@@ -77,7 +120,7 @@ def minimizers(rows: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in slices(batches):
             out = []
             for d, th, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                minima = window_minima(words(t), window, gram)
+                minima = window_minima(Line(t), window, gram)
                 if len(minima):
                     at, n = runs_of(minima)
                     out.append((minima[at], np.full(len(at), d), np.full(len(at), th), at, n))
@@ -120,16 +163,16 @@ class StringRows:
     def __init__(self, window: int):
         self.window, self.rows = window, []
 
-    def add(self, d: int, th: int, ws: list[bytes], runs) -> None:
+    def add(self, d: int, th: int, line: Line, runs) -> None:
         """runs: start, windows, mh, crowd."""
         window = self.window
         for s, n, mh, crowd in runs:
             if crowd:
                 for i in range(s, s + n):
-                    line = b" ".join(ws[i : i + window])
-                    self.rows.append((xxhash.xxh64_intdigest(line) >> 1, line, d, th, i, 1))
+                    part = line.part(i, i + window)
+                    self.rows.append((xxhash.xxh64_intdigest(part) >> 1, part, d, th, i, 1))
             else:
-                self.rows.append((mh, b" ".join(ws[s : s + n + window - 1]), d, th, s, n))
+                self.rows.append((mh, line.part(s, s + n + window - 1), d, th, s, n))
 
     def take(self) -> pa.RecordBatch:
         cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * len(self.NAMES)
@@ -148,15 +191,15 @@ def strings_by_bitmap(rows: DataFrame, shared: DataFrame, n: int, window: int, g
         made = StringRows(window)
         for batch in slices(batches, 500):
             for d, th, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ws = words(t)
-                minima = window_minima(ws, window, gram)
+                line = Line(t)
+                minima = window_minima(line, window, gram)
                 if len(minima):
                     at, n = runs_of(minima)
                     mh = minima[at]
                     ok = in_bitmap(held, power, mh)
                     if ok.any():
                         mh = mh[ok]
-                        made.add(d, th, ws, zip(at[ok].tolist(), n[ok].tolist(), mh.tolist(), in_bitmap(crowded, crowd_power, mh).tolist(), strict=True))
+                        made.add(d, th, line, zip(at[ok].tolist(), n[ok].tolist(), mh.tolist(), in_bitmap(crowded, crowd_power, mh).tolist(), strict=True))
             yield made.take()
 
     return rows.mapInArrow(run, STRINGS)
@@ -173,7 +216,7 @@ def strings_by_join(rows: DataFrame, shared: DataFrame, window: int, gram: int)
         made = StringRows(window)
         for batch in slices(batches, 500):
             for d, th, t, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made.add(d, th, words(t), (tuple(r.values()) for r in runs))
+                made.add(d, th, Line(t), (tuple(r.values()) for r in runs))
             yield made.take()
 
     return held.mapInArrow(run, STRINGS)
@@ -228,14 +271,16 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_word
     del distinct, found
     release(spark)
     wanted = key_filter(judged.select("k1"), "k1")  # of runs that some document loses
-    met = wanted.keep(runs.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows"), F.col("k1"))
-    met = hot_join(met, judged, ["k1", "k2"], total=runs.count())
+    places = wanted.keep(runs.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows"), F.col("k1"))
+    places, places_path = stored_at(places, "run-places")
+    discard(spark, runs_path)
+    met = hot_join(places, judged, ["k1", "k2"])
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("windows")) - 1
     mask = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("mask"))
     gone = met.select("doc_id", "th", "start", mask.alias("mask")).where("mask <> 0")
     marks, _ = stored_at(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "mask")).alias("marks")), "marks")
     del met, gone
-    for path in (shared_path, runs_path, judged_path):
+    for path in (shared_path, places_path, judged_path):
         discard(spark, path)
     release(spark)
     return marks
