@@ -1,7 +1,7 @@
 """Line dedup by winnowing, with DataFrame operations only.
 
 Lines are split at line feeds; lines of white space alone are neither compared nor deleted. A window is
-RUN consecutive lines, or fewer if they hold WORDS words or more. Of every window the smallest line hash is
+RUN consecutive lines, or fewer if they hold WORDS words or more (with words None: RUN lines only). Of every window the smallest line hash is
 selected as its fingerprint, so any two equal windows select the same one, at the same place in them.
 
 Positions of selected lines are joined with the fingerprints that occur at two places or more, and carry the hashes of the
@@ -40,11 +40,13 @@ def numbered(text: Column) -> Column:
     return F.filter(lines, lambda x: x["line"].rlike(_IN))
 
 
-def hashed_lines(text: Column, words: int) -> Column:
-    """Structs (a, b, n) of the numbered lines: two hashes and the number of words, `words` at most."""
+def hashed_lines(text: Column, words: int | None) -> Column:
+    """Structs (a, b, n) of the numbered lines: two hashes and the number of words, `words` at most; 0 if words do not matter."""
 
     def one(x: Column) -> Column:
         line = x["line"]
+        if words is None:
+            return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), F.lit(0).alias("n"))
         full = line.rlike(f"^{_OUT}*+(?:{_IN}++{_OUT}++){{{words - 1}}}{_IN}") if words > 1 else F.lit(True)
         n = F.when(full, words).otherwise(F.regexp_count(line, F.lit(f"{_IN}+")))
         return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), n.alias("n"))
@@ -52,20 +54,24 @@ def hashed_lines(text: Column, words: int) -> Column:
     return F.transform(numbered(text), one)
 
 
-def total(part: Column) -> Column:
-    return F.aggregate(part, F.lit(0), lambda s, x: s + x["n"])
+def enough(part: Column, size: int, run: int, words: int | None) -> Column:
+    """Whether a stretch of `size` lines is a window."""
+    return F.lit(True) if size == run else F.aggregate(part, F.lit(0), lambda s, x: s + x["n"]) >= words
 
 
-def selected(run: int, words: int) -> Column:
+def sizes(run: int, words: int | None) -> range:
+    return range(run if words is None else 1, run + 1)
+
+
+def selected(run: int, words: int | None) -> Column:
     """Places (from 1) of the lines that some window selects: its smallest hash, the first on ties."""
 
     def of_start(start: Column) -> Column:
         found = []
-        for size in range(1, run + 1):
+        for size in sizes(run, words):
             part = F.slice("lines", start, size)
             hashes = F.transform(part, lambda x: x["a"])
-            holds = F.size(part) == size
-            holds = holds if size == run else holds & (total(part) >= words)
+            holds = (F.size(part) == size) & enough(part, size, run, words)
             found.append(F.when(holds, start + F.array_position(hashes, F.array_min(hashes)).cast("int") - 1))
         return F.array(*found)
 
@@ -74,7 +80,7 @@ def selected(run: int, words: int) -> Column:
     return F.when(F.size("lines") > 0, F.filter(places, lambda p: p.isNotNull()))
 
 
-def positions(docs: DataFrame, run: int, words: int) -> DataFrame:
+def positions(docs: DataFrame, run: int, words: int | None) -> DataFrame:
     """KEYS, p, fp, at, around: selected lines; around holds the lines up to run - 1 away, the selected one at place `at` of it."""
     rows = docs.select(*keys_of(docs), hashed_lines(docs["text"], words).alias("lines"))
 
@@ -86,22 +92,22 @@ def positions(docs: DataFrame, run: int, words: int) -> DataFrame:
     return rows.select(*KEYS, F.explode(F.transform(selected(run, words), one)).alias("x")).select(*KEYS, "x.*")
 
 
-def extended(run: int, words: int) -> Column:
+def extended(run: int, words: int | None) -> Column:
     """Of a position the windows around it that selected it: structs (start, size, k1, k2)."""
     found = []
-    for size in range(1, run + 1):
+    for size in sizes(run, words):
         for before in range(size):
             first = F.col("at") - before
             part = F.slice("around", F.greatest(first, F.lit(1)), size)
             hashes = F.transform(part, lambda x: x["a"])
             holds = (first >= 1) & (F.size(part) == size) & (F.array_position(hashes, F.array_min(hashes)) == before + 1)
-            holds = holds if size == run else holds & (total(part) >= words)
+            holds = holds & enough(part, size, run, words)
             k1, k2 = F.xxhash64(F.lit(size), hashes), F.xxhash64(F.lit(-size), F.transform(part, lambda x: x["b"]))
             found.append(F.when(holds, F.struct((F.col("p") - before).alias("start"), F.lit(size).alias("size"), k1.alias("k1"), k2.alias("k2"))))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def repeated(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+def repeated(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """KEYS, windows: per document the windows (start from 1 among its numbered lines, size) that also stand earlier."""
     prints = positions(docs, run, words).groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
     shared = key_filter(stored(prints.select("fp"), "line-prints"), "fp")
@@ -114,7 +120,7 @@ def repeated(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     return met.where(place > F.col("first")).groupBy(*KEYS).agg(F.collect_set(F.struct("start", "size")).alias("windows"))
 
 
-def cut(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+def cut(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """row (a struct of all columns of docs), text without later repeated runs, n_lines, n_removed."""
     marked = stored(repeated(docs, run, words), "line-marks")
     rows = docs.select(F.struct(*docs.columns).alias("row"), *keys_of(docs))
@@ -135,7 +141,7 @@ def cut(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """docs with later repeated runs of lines deleted from text; all columns of docs."""
     less = cut(docs, run, words)
     return less.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

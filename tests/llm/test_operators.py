@@ -261,7 +261,9 @@ def test_line_dedup_of_few_long_lines_and_common_ones(spark, power, monkeypatch)
     known = [line(n) for n in (1, 2, 5, 6, 7, 8, 12, 13, 14, 60)]
     rows = [(i, "\n".join([*rng.choice(known, 9), line(4), "common", "", *rng.choice(known, 3)])) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    same([tuple(r) for r in linededup.cut(df).select("row.doc_id", "n_lines", "n_removed", "text").collect()], brute.repeated_lines(rows))
+    for words in (13, None):
+        got = linededup.cut(df, words=words).select("row.doc_id", "n_lines", "n_removed", "text").collect()
+        same([tuple(r) for r in got], brute.repeated_lines(rows, least=words or 10**9))
 
 
 def test_line_dedup_keeps_columns_and_uses_no_python(odd):
