@@ -32,8 +32,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; documents of which nothing is left go too."""
-    less = linededup.cut(docs)
+    """Later repeated runs of three lines or more go; documents of which nothing is left go too.
+
+    Shorter ones are left to the passages stage, so that near copies come whole to the stage that looks for them.
+    """
+    less = linededup.cut(docs, words=None)
     return _as_documents(less.where((F.col("n_removed") == 0) | F.col("text").rlike("[^ \\t\\n\\r\\x0B\\f]")), docs.columns)
 
 
