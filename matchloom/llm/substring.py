@@ -32,6 +32,8 @@ from .fmindex import FmIndex, earlier_windows
 WINDOW, GRAM = 13, 6
 #: Windows of a run at most, places of a minimizer from which its windows go alone, words of a shard.
 RUN_WINDOWS, CROWD, SHARD_WORDS = 24, 10_000, 800_000
+#: Bytes of runs that a task combines at once.
+COMBINE_BYTES = 1 << 25
 #: Shared minimizers that a bitmap may hold; its bits for each, and its smallest and largest size as powers of two.
 MAX_SHARED, BITMAP_BITS, BITMAP_POWERS = 1 << 23, 32, (16, 28)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -231,10 +233,37 @@ def line_keys(line: Column) -> tuple[Column, Column]:
     return F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2")
 
 
-def search_shards(distinct: DataFrame, window: int) -> DataFrame:
-    """k1, k2, first, last, n, mask: of each distinct run its smallest doc_id and the windows that occur below it (bit i: window i)."""
+def combined(runs: DataFrame) -> DataFrame:
+    """shard, words, first, last, n: equal runs of a task (of COMBINE_BYTES of it) as one row, with the smallest and largest doc_id and their number."""
 
-    def shard(table: pa.Table) -> pa.Table:
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            if held:
+                table = pa.Table.from_batches(held).group_by(["shard", "words"], use_threads=False)
+                made = table.aggregate([("doc_id", "min"), ("doc_id", "max"), ("doc_id", "count")])
+                held.clear()
+                yield from made.rename_columns(["shard", "words", "first", "last", "n"]).combine_chunks().to_batches(max_chunksize=10_000)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) > COMBINE_BYTES:
+                yield from flush()
+        yield from flush()
+
+    return runs.select("shard", "words", "doc_id").mapInArrow(run, "shard int, words binary, first long, last long, n long")
+
+
+def search_shards(runs: DataFrame, window: int) -> DataFrame:
+    """k1, k2, first, last, n, mask: of each distinct run its smallest doc_id and the windows that occur below it (bit i: window i).
+
+    runs: shard, words, doc_id. They are combined before and after the one exchange, so a shard meets a run once for each task that holds it.
+    """
+
+    def shard(parts: pa.Table) -> pa.Table:
+        table = parts.group_by("words", use_threads=False).aggregate([("first", "min"), ("last", "max"), ("n", "sum")])
+        table = table.rename_columns(["words", "first", "last", "n"])
         whole = table.column("words").to_pylist()
         keys = (pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in whole], dtype=np.uint64).view(np.int64)) for seed in (42, SECOND))
         lines = [x.split(b" ") for x in whole]
@@ -250,7 +279,7 @@ def search_shards(distinct: DataFrame, window: int) -> DataFrame:
         counts = (table.column(c) for c in ("first", "last", "n"))
         return pa.Table.from_arrays([*keys, *counts, pa.array(mask, pa.int64())], ["k1", "k2", "first", "last", "n", "mask"])
 
-    return distinct.groupBy("shard").applyInArrow(shard, "k1 long, k2 long, first long, last long, n long, mask long")
+    return combined(runs).groupBy("shard").applyInArrow(shard, "k1 long, k2 long, first long, last long, n long, mask long")
 
 
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -266,9 +295,8 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_word
     runs, runs_path = stored_at(found, "candidate-runs")
     shards = max(1, -(-(runs.agg(F.sum(F.col("windows").cast("long") + window)).first()[0] or 0) // shard_words))
     shard = F.pmod(F.col("route"), F.lit(shards)).cast("int").alias("shard")
-    distinct = runs.groupBy(shard, "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    judged, judged_path = stored_at(search_shards(distinct, window).where("mask <> 0 or first < last"), "judged-runs")
-    del distinct, found
+    judged, judged_path = stored_at(search_shards(runs.withColumn("shard", shard), window).where("mask <> 0 or first < last"), "judged-runs")
+    del found
     release(spark)
     wanted = key_filter(judged.select("k1"), "k1")  # of runs that some document loses
     places = wanted.keep(runs.select(*line_keys(F.col("words")), "doc_id", "th", "start", "windows"), F.col("k1"))
