@@ -28,7 +28,7 @@ TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
 MIN_DOCS, MAX_FEATURES = 10, 60_000
 PREFIXES = (3, 4, 5)
 #: Words whose summed weights a worker keeps.
-HELD = 500_000
+HELD = 200_000
 #: Words of an instance at most; a longer sentence is several instances.
 SENTENCE_WORDS = 60
 ROUNDS, RATE, DECAY = 300, 0.15, 1e-5
