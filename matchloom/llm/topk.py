@@ -6,8 +6,8 @@ bitmap additions over the high slices; the low slices only bound the error. The
 are then selected from the most significant slice of the sum downward, and the rows whose
 bounds reach the k-th are resolved with exact integer products.
 
-Queries and rows meet block by block (every query block with every row block), so a task
-holds two bounded blocks, whatever the table's size. Rows whose numbers are too great for sums in 64 bits are kept beside
+Every block of rows meets every block of queries in one task, which slices the rows once and then streams the queries past them,
+so it holds one bounded block, whatever the table's size. Rows whose numbers are too great for sums in 64 bits are kept beside
 the slices and scored with unbounded integers, as are all rows for such a query.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part; all others do, however great.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SCALE = 1024
-#: Rows and queries of a block; rows of a block at least, when there are cores to spare.
-ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 65_536, 8192, 4096
+#: Rows of a block, which a task holds, and queries that it streams; rows of a block at least, when there are cores to spare.
+ROW_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 65_536, 131_072, 4096
 #: Low bits of each attribute that are bounded, not added.
 LOW_BITS = 3
 #: beyond: a score past a long, shifted to be positive, as bytes that sort like numbers; else null.
@@ -157,9 +157,10 @@ def vectors_of(rows: DataFrame) -> DataFrame:
 
 
 class Quantised:
-    """A block of vectors as integers floor(scale * x): an array where sums fit 64 bits, lists of unbounded integers elsewhere."""
+    """Vectors of one length as integers floor(scale * x): an array where sums fit 64 bits, lists of unbounded integers elsewhere."""
 
-    def __init__(self, table: pa.Table, scale: int):
+    def __init__(self, batches: list[pa.RecordBatch], scale: int):
+        table = pa.Table.from_batches(batches)
         grid = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
         ids = table.column("vec_id").to_numpy()
         self.limit = float(1 << (62 - grid.shape[1].bit_length()) // 2)
@@ -184,6 +185,43 @@ def wide_best(query: list[int], own: int, k: int, parts: list[tuple[np.ndarray,
     return [i for _, i in best], [-s for s, _ in best]
 
 
+class Block:
+    """A block of rows, sliced, that answers queries."""
+
+    def __init__(self, batches: list[pa.RecordBatch], k: int, scale: int):
+        self.k, self.scale, self.held = k, scale, Quantised(batches, scale)
+        self.index = BitSlicedIndex(self.held.rows) if len(self.held.rows) else None
+
+    def answers(self, queries: pa.RecordBatch) -> pa.RecordBatch:
+        q_ids, r_ids, scores, beyond = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+
+        def give(own: int, ids, inside: np.ndarray, past: list[bytes | None]) -> None:
+            q_ids.append(np.full(len(ids), own, np.int64)), r_ids.append(np.array(ids, np.int64)), scores.append(inside), beyond.extend(past)
+
+        held, asking = self.held, Quantised([queries], self.scale)
+        for own, q in zip(asking.ids.tolist(), asking.rows, strict=True):
+            if self.index is not None:
+                found, exact = self.index.search(q, self.k, held.ids, own)
+                give(own, held.ids[found], exact, [None] * len(found))
+            if held.wide:
+                ids, exact = wide_best(q.tolist(), own, self.k, [(held.wide_ids, held.wide)])
+                give(own, ids, *long_columns(exact))
+        for own, q in zip(asking.wide_ids.tolist(), asking.wide, strict=True):
+            ids, exact = wide_best(q, own, self.k, [(held.ids, held.rows.tolist()), (held.wide_ids, held.wide)])
+            give(own, ids, *long_columns(exact))
+        columns = [pa.array(np.concatenate(c), pa.int64()) for c in (q_ids, r_ids, scores)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(beyond, pa.binary())], ["query_id", "vec_id", "score", "beyond"])
+
+
+def runs(batch: pa.RecordBatch):
+    """dim, whether they ask, and rows, for each stretch of rows equal in both."""
+    dim, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "asks"))
+    cuts = np.flatnonzero((dim[1:] != dim[:-1]) | (asks[1:] != asks[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if a < b:
+            yield int(dim[a]), bool(asks[a]), batch.select(["vec_id", "v"]).slice(a, b - a)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of `vectors` for every vec_id of `queries`.
 
@@ -196,33 +234,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, row_block: int =
     nr = max(1, -(-n // row_block), min(spark.sparkContext.defaultParallelism, n // min(LEAST_BLOCK, row_block)))
     nq = max(1, -(-asked.count() // query_block))
     part = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = rows.withColumn("rb", part(nr)).withColumn("dim", F.size("v")).withColumn("qb", spread(nq))
-    b = asked.withColumn("qb", part(nq)).withColumn("dim", F.size("v")).withColumn("rb", spread(nr))
-
-    def block(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, r_ids, scores, beyond = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-
-        def give(own: int, ids, inside: np.ndarray, past: list[bytes | None]) -> None:
-            q_ids.append(np.full(len(ids), own, np.int64)), r_ids.append(np.array(ids, np.int64)), scores.append(inside), beyond.extend(past)
-
-        if left.num_rows and right.num_rows:
-            held, asking = Quantised(left, scale), Quantised(right, scale)
-            index = BitSlicedIndex(held.rows) if len(held.rows) else None
-            for own, q in zip(asking.ids.tolist(), asking.rows, strict=True):
-                if index is not None:
-                    found, exact = index.search(q, k, held.ids, own)
-                    give(own, held.ids[found], exact, [None] * len(found))
-                if held.wide:
-                    ids, exact = wide_best(q.tolist(), own, k, [(held.wide_ids, held.wide)])
-                    give(own, ids, *long_columns(exact))
-            for own, q in zip(asking.wide_ids.tolist(), asking.wide, strict=True):
-                ids, exact = wide_best(q, own, k, [(held.ids, held.rows.tolist()), (held.wide_ids, held.wide)])
-                give(own, ids, *long_columns(exact))
-        columns = [pa.array(np.concatenate(c), pa.int64()) for c in (q_ids, r_ids, scores)]
-        return pa.table([*columns, pa.array(beyond, pa.binary())], names=["query_id", "vec_id", "score", "beyond"])
-
-    keys = ("rb", "qb", "dim")
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(block, SCHEMA)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shown = "rb", "qb", F.size("v").alias("dim"), "asks", "vec_id", "v"
+    a = rows.withColumn("rb", part(nr)).withColumn("asks", F.lit(False)).withColumn("qb", every(nq)).select(*shown)
+    b = asked.withColumn("qb", part(nq)).withColumn("asks", F.lit(True)).withColumn("rb", every(nr)).select(*shown)
+    met = a.union(b).repartitionById(nr * nq, F.col("rb") * nq + F.col("qb")).sortWithinPartitions("dim", "asks")
+
+    def run(batches):
+        now, held, block = None, [], None
+        for batch in batches:
+            for dim, asks, part_ in runs(batch):
+                if dim != now:
+                    now, held, block = dim, [], None
+                if not asks:
+                    held.append(part_)
+                elif held or block:
+                    block = block or Block(held, k, scale)
+                    held = []
+                    yield block.answers(part_)
+
+    found = met.select("dim", "asks", "vec_id", "v").mapInArrow(run, SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
