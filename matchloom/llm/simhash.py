@@ -6,7 +6,8 @@ radius, some chain of consecutive segments starting somewhere on the ring has, f
 length l, at most floor(l * radius / segments) differing bits. The leading segments whose budget is 0 are
 an equi-join key; the rest of the chain is checked in the join's condition before the full Hamming check.
 
-Only distinct fingerprints are joined. A key shared by more than BUCKET fingerprints is not
+Only distinct fingerprints are joined. The more there are, the more segments the ring has, since the head of a chain of more segments has more
+bits: with 5 segments 25, with 9 28, with 15 29. A key that is shared by more than BUCKET fingerprints all the same is not
 paired: its members are linked exactly through the values at distance one, which any
 two fingerprints within two bits share; each such value has at most 65 members.
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, slices, stored
 from .components import components
 
-SEED, RADIUS, SEGMENTS, BUCKET = 42, 2, 5, 128
+SEED, RADIUS, BUCKET = 42, 2, 128
+#: Numbers of segments to choose from.
+SEGMENTS = (5, 9, 15)
 #: Hashes whose bits are unpacked at once.
 BLOCK = 1 << 16
 
@@ -85,15 +88,25 @@ def chain_holds(differ: Column, start: int, masks: list[int], radius: int) -> Co
     return held
 
 
-def near_pairs(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+def head(segments: int, radius: int) -> int:
+    """The length of the longest chain whose budget is 0."""
+    return max(n for n in range(1, segments + 1) if n * radius // segments == 0)
+
+
+def segments_for(n: int, radius: int, bucket: int) -> int:
+    """The fewest segments with which a key of n random fingerprints is shared by a quarter of a bucket, or the most there are."""
+    return next((m for m in SEGMENTS if n >> (64 * head(m, radius) // m) <= bucket // 4), SEGMENTS[-1])
+
+
+def near_pairs(fps: DataFrame, radius: int = RADIUS, segments: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """Edges u, v that connect exactly the distinct fingerprints within `radius` bits of each other.
 
     Nodes that are no fingerprint may occur in between (values at distance one). radius is at most 2.
     """
     if radius > 2:
         raise ValueError("crowded keys are linked through values at distance one, which needs radius <= 2")
-    masks = ring(segments)
-    lead = max(n for n in range(1, segments + 1) if n * radius // segments == 0)
+    segments = segments or segments_for(fps.count(), radius, bucket)
+    masks, lead = ring(segments), head(segments, radius)
     keys = []
     for i in range(segments):
         mask = 0
@@ -119,7 +132,7 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, b
     return paired.union(linked).distinct()
 
 
-def group(docs: DataFrame, size: int = 3, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def group(docs: DataFrame, size: int = 3, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links of at most `radius` bits)."""
     rows = stored(fingerprints(docs, size), "fingerprints")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))

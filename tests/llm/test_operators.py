@@ -37,13 +37,17 @@ def test_simhash_against_all_pairs(docs):
     same([tuple(r) for r in got], [(d, f"{f:016x}", c) for (d, _), f, c in zip(rows, fps, ids, strict=True)])
 
 
-@pytest.mark.parametrize("bucket", [1, 3, 128])
-def test_pigeonring_loses_no_pair(spark, bucket):
+def test_segments_grow_with_the_fingerprints():
+    assert [simhash.segments_for(n, 2, 128) for n in (0, 10**6, 10**9, 5 * 10**9, 10**12)] == [5, 5, 5, 9, 15]
+
+
+@pytest.mark.parametrize("bucket, segments", [(1, None), (3, 5), (128, 5), (128, 9), (128, 15), (2, 9)])
+def test_pigeonring_loses_no_pair(spark, bucket, segments):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
     fps = sorted({b ^ sum(1 << int(i) for i in rng.integers(0, 64, k)) for b in base for k in (0, 1, 2, 3, 4, 5) for _ in range(6)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    linked = simhash.near_pairs(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket)
+    linked = simhash.near_pairs(spark.createDataFrame([(f,) for f in signed], "fp long"), segments=segments, bucket=bucket)
     got = {r.node: r.component for r in components.components(linked).collect()}
     same_group = brute.components(list(zip(range(len(fps)), fps, strict=True)), lambda a, b: (a ^ b).bit_count() <= 2)
     for i, j in itertools.combinations(range(len(fps)), 2):
