@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, hot_join, slices, stored
+from .common import ASCII_LOWER, give_back, hot_join, slices, stored
 from .components import components
 from .simhash import fingerprint_of, near_pairs, shingle_hashes
 
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs["text"]).alias("th"), docs["text"])
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, 500):
             c, n, fps = [], [], []
             for t in batch.column(2):
                 text = t.as_py()
@@ -71,6 +71,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 fps.append(sketches(hashes))
             made = [pa.array(np.array(c, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["d", "th", "c", "n", "fps"])
+        give_back()
 
     return rows.mapInArrow(run, "d long, th long, c long, n long, fps array<long>")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, smallest_by_hash
+from .common import give_back, slices, smallest_by_hash
 
 TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
 MIN_DOCS, MAX_FEATURES = 10, 60_000
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS, max_ch
     def learn(sample: pa.Table) -> pa.Table:
         by_id = sample.sort_by("doc_id")
         model = fit(by_id.column("text").to_pylist(), by_id.column("toxic").to_pylist())
+        give_back()
         return pa.table({"feature": pa.array(["", *model.weights], pa.string()), "weight": pa.array([model.bias, *model.weights.values()], pa.float64())})
 
     got = rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(learn, "feature string, weight double").collect()  # MAX_FEATURES rows at most
@@ -167,6 +168,11 @@ def score_function(model: SentenceModel, at_least: float = 0.5):
                 spans.append({"start": start, "stop": stop, "score": p})
         return min(1.0, max(0.0, -math.expm1(miss))), spans
 
+    def done() -> None:
+        known.clear()
+        give_back()
+
+    judge.done = done
     return judge
 
 
@@ -176,12 +182,13 @@ def score(docs: DataFrame, model: SentenceModel, at_least: float = 0.5) -> DataF
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
-        for batch in slices(batches):
+        for batch in slices(batches, 500):
             got = [judge(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)],
                 ["doc_id", "score", "spans"],
             )
+        judge.done()
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
 
@@ -189,11 +196,12 @@ def score(docs: DataFrame, model: SentenceModel, at_least: float = 0.5) -> DataF
 def clean(docs: DataFrame, model: SentenceModel, below: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose score is below the bound."""
     at = docs.columns.index("text")
-    weights = score_function(model)
+    judge = score_function(model)
 
     def run(batches):
-        for batch in slices(batches):
-            keep = [weights(t.as_py())[0] < below for t in batch.column(at)]
+        for batch in slices(batches, 500):
+            keep = [judge(t.as_py())[0] < below for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        judge.done()
 
     return docs.mapInArrow(run, docs.schema)
