@@ -7,8 +7,7 @@ compressed FM-index of them, and streams the runs backward through it for matchi
 statistics: the windows that also occur in a run of a smaller doc_id. Documents then lose the words such
 windows cover. Equal runs, those of whole copies too, are one string of the index, whose number is their smallest doc_id.
 
-The shared minimizers reach the tasks as a bitmap over their leading bits, if there are at most MAX_SHARED (32 MB);
-beyond that by a join. A minimizer with over CROWD places sends its windows one by one, dealt by their words, so
+A minimizer with over CROWD places sends its windows one by one, dealt by their words, so
 no shard gathers it. A run that very many documents hold is joined with its result by broadcast, and documents that lose nothing are not shuffled.
 
 Null doc_ids have no order: such rows are kept whole and are no source. Null texts have no words. Rows that share a
@@ -34,8 +33,6 @@ WINDOW, GRAM = 13, 6
 RUN_WINDOWS, CROWD, SHARD_WORDS = 24, 10_000, 800_000
 #: Bytes of runs that a task combines at once.
 COMBINE_BYTES = 1 << 25
-#: Shared minimizers that a bitmap may hold; its bits for each, and its smallest and largest size as powers of two.
-MAX_SHARED, BITMAP_BITS, BITMAP_POWERS = 1 << 23, 32, (16, 28)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -137,22 +134,6 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"])
 
 
-def bitmap(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """The leading bits of n keys (column mh) as a bitmap, and how many bits lead; at most 32 MB."""
-    power = min(max(int(n * BITMAP_BITS).bit_length(), BITMAP_POWERS[0]), BITMAP_POWERS[1])
-    place = F.shiftrightunsigned("mh", 64 - power)
-    parts = keys.groupBy(F.shiftrightunsigned(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
-    out = np.zeros(1 << (power - 3), dtype=np.uint8)
-    for part, bits in parts.collect():
-        out[part << 12 : (part + 1) << 12] = np.frombuffer(bits, dtype=np.uint8)
-    return out, power
-
-
-def in_bitmap(bits: np.ndarray, power: int, keys: np.ndarray) -> np.ndarray:
-    at = keys.view(np.uint64) >> np.uint64(64 - power)
-    return bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
-
-
 STRINGS = "route long, words binary, doc_id long, th long, start int, windows int"
 
 
@@ -182,43 +163,22 @@ class StringRows:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, self.TYPES, strict=True)], self.NAMES)
 
 
-def strings_by_bitmap(rows: DataFrame, shared: DataFrame, n: int, window: int, gram: int) -> DataFrame:
-    """STRINGS of the candidate runs; a bitmap lets through all shared minimizers and a few others."""
-    held, power = bitmap(shared, n)
-    crowded, crowd_power = bitmap(shared.where("crowd"), shared.where("crowd").count())
-    sent = rows.sparkSession.sparkContext.broadcast((held, crowded))
-
-    def run(batches):
-        held, crowded = sent.value
-        made = StringRows(window)
-        for batch in slices(batches, 500):
-            for d, th, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                line = Line(t)
-                minima = window_minima(line, window, gram)
-                if len(minima):
-                    at, n = runs_of(minima)
-                    mh = minima[at]
-                    ok = in_bitmap(held, power, mh)
-                    if ok.any():
-                        mh = mh[ok]
-                        made.add(d, th, line, zip(at[ok].tolist(), n[ok].tolist(), mh.tolist(), in_bitmap(crowded, crowd_power, mh).tolist(), strict=True))
-            yield made.take()
-
-    return rows.mapInArrow(run, STRINGS)
-
-
-def strings_by_join(rows: DataFrame, shared: DataFrame, window: int, gram: int) -> DataFrame:
-    """STRINGS of the candidate runs, for any number of shared minimizers."""
-    runs = minimizers(rows, window, gram).join(shared, "mh").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "windows", "mh", "crowd")).alias("runs"))
-    runs = stored_at(runs, "document-runs")[0]
+def strings(rows: DataFrame, places: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+    """STRINGS of the runs (places, from minimizers) whose minimizer is shared (mh, n). Documents without such a run are not shuffled."""
+    found = hot_join(places, shared, ["mh"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "windows", "mh", (F.col("n") > CROWD).alias("crowd"))).alias("runs"))
+    runs = stored_at(found, "document-runs")[0]
     maybe = key_filter(runs.select(F.xxhash64("doc_id", "th").alias("key")), "key")
     held = maybe.keep(rows, F.xxhash64("doc_id", "th")).join(runs, ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
 
     def run(batches):
         made = StringRows(window)
         for batch in slices(batches, 500):
-            for d, th, t, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made.add(d, th, Line(t), (tuple(r.values()) for r in runs))
+            d, th, t, runs = batch.columns
+            upto = np.cumsum(np.concatenate([[0], runs.value_lengths().to_numpy()]))
+            start, windows, mh, crowd = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
+            for i in range(batch.num_rows):
+                own = slice(upto[i], upto[i + 1])
+                made.add(d[i].as_py(), th[i].as_py(), Line(t[i].as_py()), zip(*(x[own].tolist() for x in (start, windows, mh, crowd)), strict=True))
             yield made.take()
 
     return held.mapInArrow(run, STRINGS)
@@ -286,12 +246,14 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_word
     """doc_id, th, marks of the documents that lose words: an array of start and mask (bit i: the window at start + i)."""
     spark = docs.sparkSession
     rows = hashed(docs).where("doc_id is not null and text is not null")
-    spots = minimizers(rows, window, gram).groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-    shared, shared_path = stored_at(spots.where("a < b").select("mh", (F.col("n") > CROWD).alias("crowd")), "shared-minimizers")
+    every, every_path = stored_at(minimizers(rows, window, gram), "minimizers")
+    spots = every.groupBy("mh").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    shared, shared_path = stored_at(spots.where("a < b").select("mh", "n"), "shared-minimizers")
     del spots
     release(spark)
-    n = shared.count()
-    found = strings_by_bitmap(rows, shared, n, window, gram) if n <= MAX_SHARED else strings_by_join(rows, shared, window, gram)
+    found = strings(rows, every, shared, window)
+    discard(spark, every_path)
+    release(spark)
     runs, runs_path = stored_at(found, "candidate-runs")
     shards = max(1, -(-(runs.agg(F.sum(F.col("windows").cast("long") + window)).first()[0] or 0) // shard_words))
     shard = F.pmod(F.col("route"), F.lit(shards)).cast("int").alias("shard")

@@ -277,7 +277,7 @@ def test_line_dedup_keeps_columns_and_uses_no_python(odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("settings", [{}, {"CROWD": 2}, {"MAX_SHARED": 0}, {"MAX_SHARED": 0, "CROWD": 2, "SHARD_WORDS": 2000}, {"HOT_SHARE": 10**9}])
+@pytest.mark.parametrize("settings", [{}, {"CROWD": 2}, {"CROWD": 2, "SHARD_WORDS": 2000, "COMBINE_BYTES": 1000}, {"HOT_SHARE": 10**9}])
 def test_substring_dedup(docs, settings, monkeypatch):
     for k, v in settings.items():
         monkeypatch.setattr(common if k == "HOT_SHARE" else substring, k, v)
